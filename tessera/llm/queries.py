@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tessera.llm import exact_dedup
+from tessera.llm import exact_dedup, substring_dedup
 from tessera.llm.common import workers_find_package
 
 
@@ -21,8 +21,10 @@ QUERIES = {
     f.__name__: _ready(f)
     for f in (
         exact_dedup.op2_exact_dedup,
+        substring_dedup.op8_substring_dedup,
     )
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op8_substring_dedup": substring_dedup.ORACLE,
 }
