@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tessera.llm import exact_dedup, substring_dedup
+from tessera.llm import exact_dedup, jaccard_join, substring_dedup
 from tessera.llm.common import workers_find_package
 
 
@@ -22,9 +22,11 @@ QUERIES = {
     for f in (
         exact_dedup.op2_exact_dedup,
         substring_dedup.op8_substring_dedup,
+        jaccard_join.op9_ngram_jaccard_join,
     )
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_ngram_jaccard_join": jaccard_join.ORACLE,
 }
