@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from tessera.llm import exact_dedup, jaccard_join, substring_dedup
+from tessera.llm import decontaminate, exact_dedup, jaccard_join, substring_dedup, url_filter
 from tessera.llm.common import workers_find_package
 
 
@@ -21,12 +21,16 @@ QUERIES = {
     f.__name__: _ready(f)
     for f in (
         exact_dedup.op2_exact_dedup,
+        url_filter.op5_url_filters,
+        decontaminate.op6_decontamination,
         substring_dedup.op8_substring_dedup,
         jaccard_join.op9_ngram_jaccard_join,
     )
 }
 ORACLES = {
     "op2_exact_dedup": exact_dedup.ORACLE,
+    "op5_url_filters": url_filter.ORACLE,
+    "op6_decontamination": decontaminate.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
     "op9_ngram_jaccard_join": jaccard_join.ORACLE,
 }
