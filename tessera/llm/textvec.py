@@ -137,6 +137,19 @@ def _long(raw: np.ndarray, values: np.ndarray, power: np.ndarray) -> np.uint64:
     return np.uint64(total)
 
 
+def prefixes(grid: np.ndarray) -> np.ndarray:
+    """For rows of bytes, sums from which ``span_of`` has the digests of spans."""
+    out = np.zeros((grid.shape[1] + 1, len(grid)), np.uint64)
+    for d in range(grid.shape[1]):
+        out[d + 1] = out[d] + _VALUES[False][grid[:, d]] * _power(_MUL)[d]
+    return out
+
+
+def span_of(prefix: np.ndarray, rows: np.ndarray, start: int, end: int) -> np.ndarray:
+    """Digests, as ``spans`` gives them, of bytes start to end of the given rows."""
+    return mix((prefix[end, rows] - prefix[start, rows]) * _power(_INV)[start] + np.uint64((end - start) * _INV & _MASK))
+
+
 def words(texts: pa.Array, gap: np.ndarray = ASCII_SPACE, lower: bool = False) -> tuple[np.ndarray, Words]:
     raw, at = buffer(texts)
     starts, ends, first = bounds(raw, at, gap)
