@@ -35,7 +35,7 @@ from tessera.llm.components import components
 
 SIZE, PERCENT, FRAGMENTS = 3, 90, 8
 #: Rounds with one centre a list, unless the pairs that remain are fewer than so many a posting.
-ROUNDS, FEW = 6, 2
+ROUNDS, FEW = 2, 8
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,9 +109,11 @@ def _set_digest(values: np.ndarray) -> bytes:
 
 
 def _ranked(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
-    """Prefix postings (token, doc, n, pos) of the classes in rarest-first order, without shingles of a single class.
+    """Prefix postings of the classes in rarest-first order: token, doc, n, m (shingles that other classes have too),
+    pos (the token's place among those), typical (the mean count of the class's shingles).
 
-    Counts are exact: blocks ask the shingles' segments, as in ``exchange``.
+    Counts are exact: blocks ask the shingles' segments, as in ``exchange``. Of tokens with the very same list of
+    classes one stays: the others propose the same pairs.
     """
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     segments = ex.segments_for(total, segment_keys)
@@ -144,25 +146,30 @@ def _ranked(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
         return pa.table({"block": t.column("block"), "segment": t.column("segment"), "answer": pa.array([ex.pack(x) for x in parts], pa.binary())})
 
     def rank(t: pa.Table, answers: pa.Table) -> pa.Table:
-        token, doc, size, pos = [], [], [], []
+        token, doc, size, more, pos, typical = [], [], [], [], [], []
         if t.num_rows:
             values, first = values_of(t)
             keys, where = np.unique(values, return_inverse=True)
             at, told = bounds(keys), _answers(answers)
             count = np.concatenate([ex.unpack(told[s], "<u8") for s in np.flatnonzero(np.diff(at)).tolist()])[where]
             for d, a, b in zip(t.column("doc").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
-                n = b - a
-                order = np.lexsort((values[a:b], count[a:b]))[: n - int(_needed(np.int64(n), percent)) + 1]
-                order = order[(p := np.flatnonzero(count[a:b][order] > 1))] if len(order) else order
+                n, single = b - a, int((count[a:b] < 2).sum())
+                order = np.lexsort((values[a:b], count[a:b]))[single : n - int(_needed(np.int64(n), percent)) + 1]
+                k = len(order)
                 token.append(values[a:b][order])
-                pos.append(p)
-                doc.append(np.full(len(p), d))
-                size.append(np.full(len(p), n))
+                pos.append(np.arange(k))
+                for column, value in ((doc, d), (size, n), (more, n - single)):
+                    column.append(np.full(k, value))
+                typical.append(np.full(k, count[a:b].mean()))
         flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"token": pa.array(flat(token).view(np.int64)), "doc": pa.array(flat(doc), pa.int64()), "n": pa.array(flat(size), pa.int64()), "pos": pa.array(flat(pos), pa.int64())})
+        return pa.table({"token": pa.array(flat(token).view(np.int64)), "doc": pa.array(flat(doc), pa.int64()), "n": pa.array(flat(size), pa.int64()), "m": pa.array(flat(more), pa.int64()), "pos": pa.array(flat(pos), pa.int64()), "typical": pa.array(flat(typical), pa.float64())})
 
     answers = blocks.groupBy("block").applyInArrow(ask, ex.ASK).groupBy("segment").applyInArrow(answer, ex.ANSWER)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rank, "token bigint, doc bigint, n bigint, pos bigint")
+    postings = shared(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rank, "token bigint, doc bigint, n bigint, m bigint, pos bigint, typical double"))
+    sign = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "doc"))  # noqa: E731  with the size and twice 64 bits, a list's signature
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), sign(1).alias("s1"), sign(2).alias("s2"))
+    kept = lists.filter("size > 1").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token")
+    return postings.join(kept, "token", "left_semi")
 
 
 def _fragments(classes: DataFrame, count: int) -> DataFrame:
@@ -193,9 +200,10 @@ def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
 
 
 def _can_link(percent: int):
-    """Of postings a, b of one token: sizes near enough, and enough left behind the shared positions."""
+    """Of postings a, b of one token: sizes near enough, and enough common shingles before and behind it to link."""
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= least - F.least("pa", "pb"))
+    most = F.least(F.col("ma") - F.col("pa"), F.col("mb") - F.col("pb")) + F.least("pa", "pb")
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most >= least)
 
 
 def class_links(classes: DataFrame, percent: int, fragments: int, segment_keys: int) -> DataFrame:
@@ -214,14 +222,14 @@ def class_links(classes: DataFrame, percent: int, fragments: int, segment_keys:
             break
         live = now.join(lists.select("token"), "token", "left_semi")
         last = step == ROUNDS or across <= FEW * n_postings
-        right = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        left = live.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+        right = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+        left = live.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("pos").alias("pa"), F.col("component").alias("ca"), "typical")
         if last:
-            both = left.join(right, "token").filter("a < b and ca != cb")
+            both = left.drop("typical").join(right, "token").filter("a < b and ca != cb")
         else:
-            # a list's centre is its least member by a hash that changes each round
-            order = F.struct(F.xxhash64(F.col("a"), F.lit(step)) if step else F.col("a"), F.col("a"))
-            centre = left.groupBy("token").agg(F.min_by(F.struct("a", "na", "pa", "ca"), order).alias("x")).select("token", "x.*")
+            # a list's centre is its most typical member, in later rounds one by a hash that changes each round
+            order = F.struct(F.xxhash64(F.col("a"), F.lit(step)) if step else -F.col("typical"), F.col("a"))
+            centre = left.groupBy("token").agg(F.min_by(F.struct("a", "na", "ma", "pa", "ca"), order).alias("x")).select("token", "x.*")
             both = right.join(centre, "token").filter("a != b and ca != cb")
         pairs = both.filter(_can_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         pairs = shared(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
