@@ -81,7 +81,7 @@ def codewords(count: int, seed: int = 5) -> np.ndarray:
     random codes by the least distance between two codewords."""
     if count <= 5:
         bits = (1 << max(0, count - 1)) - 1
-        return np.array([[1] * max(1, bits)] + [[1 - 2 * ((b >> (count - 1 - r)) & 1) for b in range(bits)] for r in range(1, count)])
+        return np.array([[1] * max(1, bits)] + [[2 * ((b >> (count - 1 - r)) & 1) - 1 for b in range(max(1, bits))] for r in range(1, count)])
     rng, best, far = np.random.default_rng(seed), None, -1
     for _ in range(200):
         code = rng.choice([-1, 1], (count, int(np.ceil(8 * np.log2(count)))))
