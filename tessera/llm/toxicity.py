@@ -50,14 +50,24 @@ def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([(x >> np.uint64(64 - b)).astype(np.int32) + np.int32(o) for x, b, o in zip(rows, BITS, base)], axis=1), first
 
 
-def _padded(rows: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word vectors with two zero rows after each text, and each text's first row; no window spans two texts."""
+def _padded(rows: np.ndarray, first: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word vectors with two zero rows after each text, each text's first row, and which rows are words. Windows begin
+    at words, so none spans two texts."""
     n = np.diff(first)
     at = np.concatenate([[0], np.cumsum(n + 2)])
     x = np.zeros((int(at[-1]) + 2, DIM), np.float32)
     place = np.arange(len(rows)) + 2 * np.repeat(np.arange(len(n)), n)
     x[place] = table[rows].sum(axis=1)
-    return x, at
+    return x, at, place
+
+
+def _slid(x: np.ndarray, f: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """A filter bank's values at every word, 0 at the rows between texts."""
+    k = len(f) // DIM
+    y = sum(x[j : len(x) - 2 + j] @ f[j * DIM : (j + 1) * DIM] for j in range(k))
+    out = np.zeros_like(y)
+    out[place] = y[place]
+    return out
 
 
 @dataclass
@@ -67,11 +77,11 @@ class Net:
     out: np.ndarray
     bias: float
 
-    def pooled(self, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def pooled(self, x: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
         """The largest value of each filter in each text, at least 0."""
         got = []
-        for k, f in zip(WIDTHS, self.filters):
-            y = sum(x[j : len(x) - 2 + j] @ f[j * DIM : (j + 1) * DIM] for j in range(k))
+        for f in self.filters:
+            y = _slid(x, f, place)
             got.append(np.maximum.reduceat(y, at[:-1], axis=0))
         return np.maximum(np.concatenate(got, axis=1), 0)
 
@@ -95,7 +105,8 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         if self.net is None:
             return np.zeros(len(texts))
-        return 1 / (1 + np.exp(-np.clip(self.net.logits(texts) - self.cut[self.langs.predict(texts)[0]], -30, 30)))
+        # rounded, so that equal texts score alike wherever in a batch they stand
+        return 1 / (1 + np.exp(-np.clip(np.round(self.net.logits(texts), 3) - self.cut[self.langs.predict(texts)[0]], -30, 30)))
 
 
 def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Net:
@@ -115,12 +126,12 @@ def train(docs: list[np.ndarray], y: np.ndarray, seed: int = 3) -> Net:
     for _ in range(STEPS):
         pick = np.concatenate([rng.choice(b, BATCH // 2) for b in by_label])
         rows, first = np.concatenate([docs[i] for i in pick]), np.concatenate([[0], np.cumsum([len(docs[i]) for i in pick])])
-        x, at = _padded(rows, first, net.table)
+        x, at, words = _padded(rows, first, net.table)
         place = np.full(len(x), -1)
-        place[np.arange(len(rows)) + 2 * np.repeat(np.arange(len(pick)), np.diff(first))] = np.arange(len(rows))
+        place[words] = np.arange(len(rows))
         tops, values = [], []
-        for k, f in zip(WIDTHS, net.filters):
-            v = sum(x[j : len(x) - 2 + j] @ f[j * DIM : (j + 1) * DIM] for j in range(k))
+        for f in net.filters:
+            v = _slid(x, f, words)
             top = np.stack([v[a:b].argmax(axis=0) + a for a, b in zip(at[:-1], at[1:])])
             tops.append(top)
             values.append(np.take_along_axis(v, top, axis=0))
