@@ -26,7 +26,7 @@ _pack = zstandard.ZstdCompressor(level=1)
 
 def pack(values: np.ndarray) -> bytes:
     """Bytes of integers, byte plane by byte plane, compressed."""
-    return _pack.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes())
+    return _pack.compress(np.ascontiguousarray(values.ravel().view(np.uint8).reshape(values.size, values.itemsize).T).tobytes())
 
 
 def unpack(raw: bytes, kind: str) -> np.ndarray:

@@ -80,7 +80,7 @@ def repeated_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int =
                 out["segment"].append(-1 - s)
                 out["block"].append(_first_block(t))
                 out["keys"].append(ex.pack_sorted(h1[part]))
-                out["extra"].append(ex.pack(np.stack([h2[part], least[part].astype(np.uint64)])))
+                out["extra"].append(ex.pack(np.concatenate([h2[part], least[part].astype(np.uint64)])))
         return ex.table_of(out, ex.ASK)
 
     def resolve(t: pa.Table) -> pa.Table:
