@@ -12,6 +12,7 @@ from tessera.functions.distance import cosine_distance
 
 #: Bytes of query vectors that are broadcast at once; more are searched in several sets.
 QUERY_BYTES = 64 << 20
+SLACK = np.float32(1e-5)
 
 
 def knn(df: DataFrame, column: str, query, k: int, tie: str) -> DataFrame:
@@ -26,6 +27,15 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(norm == 0, 1, norm)  # zero vectors stay zero: cosine 0, distance 1
 
 
+def _best(query: np.ndarray, row: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of each query by distance, then row."""
+    order = np.lexsort((row, np.round(distance, 12), query))
+    query, row, distance = query[order], row[order], distance[order]
+    first = np.searchsorted(query, query, "left")
+    keep = np.arange(len(query)) - first < k
+    return query[keep], row[keep], distance[keep]
+
+
 def knn_batch(queries: DataFrame, query_id: str, query_column: str, base: DataFrame, base_id: str, base_column: str, k: int) -> DataFrame:
     """(query_id, base_id, distance, rank): the k nearest of ``base`` for each query.
 
@@ -62,12 +72,24 @@ def knn_batch(queries: DataFrame, query_id: str, query_column: str, base: DataFr
                 near, key = _unit(v.reshape(b.num_rows, -1)), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 order = np.argsort(key, kind="stable")
                 near, key = near[order], key[order]
-                for i in range(0, len(ids), 2048):
-                    d = 1 - np.clip(q[i : i + 2048] @ near.T, -1, 1)
-                    top = min(k, d.shape[1])
-                    cut = np.partition(d, top - 1, axis=1)[:, top - 1 : top]
-                    at, j = np.nonzero(d <= cut + 1e-12)  # ties at the edge stay for the merge
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i + at]), pa.array(key[j]), pa.array(d[at, j])], ["query_id", "base_id", "distance"])
+                half = near.astype(np.float32).T
+                for i in range(0, len(ids), 1024):
+                    # single precision finds who may be among the best (its error is far below SLACK), double decides
+                    rough = q[i : i + 1024].astype(np.float32) @ half
+                    top = rough.shape[1] - min(k, rough.shape[1])
+                    cut = np.partition(rough, top, axis=1)[:, top : top + 1]
+                    may = rough >= cut - SLACK
+                    count = may.sum(axis=1)
+                    tied = np.flatnonzero(count > 4 * k + 64)  # queries whose edge many equal vectors share, one by one
+                    may[tied] = False
+                    at, j = np.nonzero(may)
+                    d = 1 - np.clip(np.einsum("nd,nd->n", q[i + at], near[j]), -1, 1)
+                    parts = [_best(i + at, j, d, k)]
+                    for t in tied.tolist():
+                        own = np.flatnonzero(rough[t] >= cut[t] - SLACK)
+                        parts.append(_best(np.full(len(own), i + t), own, 1 - np.clip(near[own] @ q[i + t], -1, 1), k))
+                    at, j, d = (np.concatenate(x) for x in zip(*parts))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(key[j]), pa.array(d)], ["query_id", "base_id", "distance"])
 
         kept = base.filter(F.col(base_column).isNotNull()).select(base_id, base_column).mapInArrow(run, schema)
         parts = kept if parts is None else parts.unionByName(kept)

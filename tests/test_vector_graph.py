@@ -38,6 +38,12 @@ def test_batch_search_equals_brute_force(spark):
         assert [got[q][k] for k in (1, 2, 3, 4)] == order
 
 
+def test_batch_search_with_many_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [float(i), 1.0]) for i in range(400)], "id bigint, v array<float>").repartition(3)
+    got = sorted((r["rank"], r.base_id) for r in knn_batch(df.filter("id = 1"), "id", "v", df, "id", "v", 5).collect())
+    assert got == [(1, 1), (2, 3), (3, 5), (4, 7), (5, 9)]
+
+
 def test_vector_set(spark):
     v = VectorSet(spark.createDataFrame([(1, [1.0, 0.0], "a"), (2, [0.9, 0.1], "a"), (3, [0.0, 1.0], "b")], "id bigint, vector array<float>, node_type string"))
     assert [r.id for r in v.search([1.0, 0.0], 2).collect()] == [1, 2]
