@@ -538,6 +538,19 @@ class Engine:
         rows = rows if high is None else rows.filter(F.col("v") <= F.lit(high))
         return rows.orderBy("v", ROW_ID).select(ROW_ID)
 
+    def indexes_of(self, table: str) -> list[str]:
+        return sorted(k for k, (t, _) in self.indexes.items() if t == self._need(table).name)
+
+    def index_for(self, table: str, column: str) -> str | None:
+        """The first index on a column, by name."""
+        key = self._need_column(self._need(table), column).key
+        return next((k for k in self.indexes_of(table) if self.indexes[k][1] == key), None)
+
+    def checkpoint(self) -> None:
+        """Write the whole state as one file of the log and delete what it replaces."""
+        if self.log:
+            self._checkpoint()
+
     def _index(self, index: str) -> DataFrame:
         if index not in self.indexes:
             raise E.IndexNotFound(index)

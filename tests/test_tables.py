@@ -41,6 +41,7 @@ def test_schema_changes(bank):
     bank.execute("ALTER TABLE accounts RENAME COLUMN balance TO amount")
     assert rows(bank, "SELECT id, amount, note FROM accounts ORDER BY id") == [(1, 100, "x"), (2, 100, None), (3, 100, None)]
     assert [r[0] for r in bank.index_range("by_balance", 50, 100).collect()] == [2, 3, 1] or bank.index_query("by_balance", 100).count() == 3
+    assert bank.indexes_of("accounts") == ["by_balance"] and bank.index_for("accounts", "amount") == "by_balance" and bank.index_for("accounts", "id") is None
     bank.execute("ALTER TABLE accounts DROP COLUMN amount")
     assert bank.indexes == {} and bank.execute("SELECT * FROM accounts").columns == ["id", "note"]
 
@@ -116,6 +117,16 @@ def test_recovery(spark, tmp_path):
     assert rows(torn, "INSERT INTO t VALUES (9, NULL)") == [(2,)]
 
 
+def test_checkpoint_of_the_log(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "db"))
+    e.execute("CREATE TABLE t (id int)")
+    e.execute("INSERT INTO t VALUES (1)")
+    e.checkpoint()
+    e.execute("INSERT INTO t VALUES (2)")
+    again = Engine(spark, str(tmp_path / "db"))
+    assert again.recovered == 1 and rows(again, "SELECT COUNT(*) FROM t") == [(2,)]
+
+
 def test_segments_save_and_load(spark, tmp_path):
     root = str(tmp_path / "db")
     e = Engine(spark, root)
