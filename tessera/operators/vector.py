@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera import errors as E
 from tessera.functions.distance import cosine_distance
+from tessera.functions.workers import workers_find_package
 
 #: Bytes of query vectors that are broadcast at once; more are searched in several sets.
 QUERY_BYTES = 64 << 20
@@ -43,6 +44,7 @@ def knn_batch(queries: DataFrame, query_id: str, query_column: str, base: DataFr
     ``base`` is one matrix product and keeps its best k a query, and the batches' bests (k a query and batch at most)
     are merged by query. ``base`` isn't shuffled. Null vectors are left out on both sides; ids are whole numbers.
     """
+    workers_find_package(base.sparkSession)
     rows = queries.filter(F.col(query_column).isNotNull()).select(query_id, F.col(query_column).cast("array<double>").alias("v"))
     size = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.size("v"))).first()
     schema = "query_id bigint, base_id bigint, distance double"
