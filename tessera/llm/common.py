@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut_lineage
+from tessera.functions.workers import workers_find_package
+
 #: Rows of a table that may be broadcast; every table that is broadcast is counted against it first.
 BROADCAST_ROWS = 200_000
 
@@ -19,10 +19,7 @@ def shared(df: DataFrame) -> DataFrame:
     The folder is the one in ``spark.checkpoint.dir``; a local one is set only where none is (as in tests). The
     files outlive lost executors, and later stages restart from them.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-"))
-    return df.checkpoint(eager=True)
+    return cut_lineage(df)
 
 
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
@@ -39,16 +36,4 @@ def fold(expr: str, modulus: int):
     return F.crc32(F.col(expr).cast("string").cast("binary")) % modulus
 
 
-def sample_by_hash(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
-    """About ``rows`` of ``total`` rows, chosen by a hash of ``key``: the same rows at every run and layout."""
-    if total <= rows:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) < int((1 << 30) * rows / total))
-
-
-def workers_find_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver did, unless their path already has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    environment = spark.sparkContext.environment
-    if root not in environment.get("PYTHONPATH", "").split(os.pathsep):
-        environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
+__all__ = ["broadcast_if_small", "fold", "shared", "table", "workers_find_package"]
