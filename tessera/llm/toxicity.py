@@ -213,10 +213,16 @@ def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int
                 features = lang_id.features(part.column("text")).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.string()), part.column("y").cast(pa.int64()), part.column("lang").cast(pa.string()), pa.array([words[a:c].tobytes() for a, c in zip(first[:-1], first[1:])], pa.binary()), pa.array([x.tobytes() for x in features], pa.binary())], ["id", "y", "lang", "words", "x"])
 
-    got = sorted(sample.mapInArrow(run, "id string, y bigint, lang string, words binary, x binary").collect(), key=lambda r: r.id)
+    got = sample.mapInArrow(run, "id string, y bigint, lang string, words binary, x binary").collect()
+    got.sort(key=lambda r: r.id)
     y = np.array([r.y for r in got], np.int64)
     share = np.array([sizes[int(k)] / max(1, (y == k).sum()) for k in y])
-    return fit_sample([np.frombuffer(r.words, np.int32).reshape(-1, 3) for r in got], y, np.array([np.frombuffer(r.x, np.float16) for r in got]).astype(np.float32).reshape(-1, lang_id.DIM), [r.lang for r in got], share)
+    rows, langs = [np.frombuffer(r.words, np.int32).reshape(-1, 3) for r in got], [r.lang for r in got]
+    features = np.empty((len(got), lang_id.DIM), np.float32)
+    for i in range(len(got)):  # each row's bytes go as soon as they are copied
+        features[i] = np.frombuffer(got[i].x, np.float16)
+        got[i] = None
+    return fit_sample(rows, y, features, langs, share)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
