@@ -8,10 +8,10 @@ other than space and \\t \\n \\v \\f \\r); a text of fewer words is one shingle.
    mostly single: a link needs percent / 100 of the larger set in common.
 2. Equal sets become one class with its least doc_id; classes go on, copies don't.
 3. Shingles get a global order, rarest first (exact counts over the classes). Sets that link share a shingle in their
-   prefixes (n - ceil(percent * n / 100) + 1 first shingles), which gives candidate pairs. Round by round, each posting
-   list pairs its members with one centre only, and only across components that aren't joined yet, so a group of n
-   near copies costs some n pairs; the pairs that remain across components at the end are all tested. Whatever isn't
-   tested lies in one component already.
+   prefixes (n - ceil(percent * n / 100) + 1 first shingles), which gives candidate pairs. In each of the first rounds
+   every class meets one centre of its posting lists, and only across components that aren't joined yet, so a group
+   of n near copies costs n pairs a round; the pairs that remain across components after them are all tested. Whatever
+   isn't tested lies in one component already.
 4. The order of shingle digests is cut into ``fragments`` ranges. For every candidate pair the overlaps in each
    fragment are counted separately and summed per pair: no task has more than a fragment of a set.
 5. Components of the links, by hooking and pointer jumping.
@@ -33,9 +33,10 @@ from tessera.llm import textvec as tv
 from tessera.llm.common import shared
 from tessera.llm.components import components
 
-SIZE, PERCENT, FRAGMENTS = 3, 90, 8
-#: Rounds with one centre a list, unless the pairs that remain are fewer than so many a posting.
-ROUNDS, FEW = 2, 8
+SIZE, PERCENT, FRAGMENTS = 3, 90, 4
+#: Rounds in which each class meets one centre, unless the pairs that remain and may link are fewer than FEW a posting;
+#: they are counted where the lists have at most MANY pairs a posting.
+ROUNDS, FEW, MANY = 3, 2, 500
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,17 +222,22 @@ def class_links(classes: DataFrame, percent: int, fragments: int, segment_keys:
         if not across:
             break
         live = now.join(lists.select("token"), "token", "left_semi")
-        last = step == ROUNDS or across <= FEW * n_postings
+        last = step == ROUNDS
         right = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
         left = live.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("pos").alias("pa"), F.col("component").alias("ca"), "typical")
+        rest = left.drop("typical").join(right, "token").filter("a < b and ca != cb").filter(_can_link(percent))
+        if step and not last and across <= MANY * n_postings:  # few enough to count those that may link
+            last = rest.count() <= FEW * n_postings
         if last:
-            both = left.drop("typical").join(right, "token").filter("a < b and ca != cb")
+            both = rest
         else:
             # a list's centre is its most typical member, in later rounds one by a hash that changes each round
             order = F.struct(F.xxhash64(F.col("a"), F.lit(step)) if step else -F.col("typical"), F.col("a"))
-            centre = left.groupBy("token").agg(F.min_by(F.struct("a", "na", "ma", "pa", "ca"), order).alias("x")).select("token", "x.*")
-            both = right.join(centre, "token").filter("a != b and ca != cb")
-        pairs = both.filter(_can_link(percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+            centre = left.groupBy("token").agg(F.min(order).alias("rank"), F.min_by(F.struct("a", "na", "ma", "pa", "ca"), order).alias("x")).select("token", "rank", "x.*")
+            met = right.join(centre, "token").filter("a != b and ca != cb").filter(_can_link(percent))
+            met = met if tested is None else met.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tested.toDF("x", "y"), ["x", "y"], "left_anti")
+            both = met.groupBy("b", "nb").agg(F.min_by(F.struct("a", "na"), "rank").alias("c")).select("b", "nb", "c.a", "c.na")
+        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
         pairs = shared(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = shared(_linked(pairs, cut, percent))
         links = found if links is None else links.unionByName(found)
