@@ -4,14 +4,15 @@ Each source's documents, in an order given by a hash of doc_id, are cut into blo
 ``share`` of ``total`` integer shares gets a release time floor((j - 1) * total / share) and a deadline
 ceil(j * total / share) for its j-th block. Of the released blocks the one with the earliest deadline takes the next
 slot. For unit blocks in one sequence this meets every deadline, so at every slot each source is less than one block
-away from its target. The schedule repeats after ``total`` slots (all deviations are then 0), so the driver schedules
-one period only, of a size that depends on the shares and not on the corpus; a block's slot follows from its number.
+away from its target. Shares are the weights themselves, as exact fractions: nothing is rounded, so the deviation stays
+below one block at every number of slots. One task makes the plan (a row for each block, so rows / ``block_rows``),
+batch by batch, and holds the sources only; documents meet their blocks' rows in a join.
 When a source has no block left, the rest go on with their own shares as the weights (a new phase); every document
 gets a place, and ``phase`` 0 is the mixture at full target.
 
 Ranks are found without sorting a source in one task: documents fall into buckets by the hash's leading bits, buckets
 are counted and summed, and rows are numbered inside (source, bucket) only. A source with a third of all rows has as
-many times more buckets' rows to spread. Sources are counted before their table is broadcast (``MAX_SOURCES``).
+many times more buckets' rows to spread. The plan is broadcast only if counted small.
 
 Defined cases: null is a source of its own; sources without a weight get none of the weighted phases and follow at
 the end, by their size; weights that aren't positive count as absent; rows that repeat take places of their own;
@@ -21,117 +22,140 @@ texts are not read; an empty table gives an empty result; columns named block, s
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import gcd, lcm
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import broadcast_if_small, shared, workers_find_package
+
 BLOCK_ROWS = 64
 MAX_SOURCES = 2000
-RESOLUTION = 1000
 BUCKET_ROWS = 1024
 MAX_BUCKETS = 1 << 20
+#: Rows of the plan that a task gives out at once.
+PLAN_ROWS = 1 << 16
 #: Weights of the registered query: a source of n documents weighs n ** TEMPERATURE.
 TEMPERATURE = 0.7
 
 
-def integer_shares(weights: list[float], resolution: int = RESOLUTION) -> list[int]:
-    """Shares that sum to about ``resolution`` (at least one each) by largest remainder."""
-    total, resolution = sum(weights), max(resolution, len(weights))
-    exact = [w * resolution / total for w in weights]
-    shares = [max(1, int(x)) for x in exact]
-    for i in sorted(range(len(weights)), key=lambda i: (int(exact[i]) - exact[i], i))[: max(0, resolution - sum(shares))]:
-        shares[i] += 1
-    return shares
+def exact_shares(weights: list[float]) -> list[int]:
+    """The least integers in the very proportions of ``weights``; 0 for those that aren't positive."""
+    exact = [Fraction(w) if w > 0 else Fraction(0) for w in weights]
+    scale = lcm(*(x.denominator for x in exact))
+    shares = [int(x * scale) for x in exact]
+    return [s // (gcd(*shares) or 1) for s in shares]
 
 
-def period(shares: list[int]) -> list[int]:
-    """The source of each slot of one period, earliest deadline first among released blocks."""
+def order(shares: list[int]) -> Iterator[int]:
+    """The source of each slot, without end: earliest deadline first among released blocks."""
     total = sum(shares)
     waiting = [(0, i, 1) for i in range(len(shares))]  # release, source, block number
-    heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []  # deadline, source, block number
-    out = []
-    for slot in range(total):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
             _, i, j = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-j * total // shares[i]), i, j))
         _, i, j = heapq.heappop(ready)
-        out.append(i)
-        if j < shares[i]:
-            heapq.heappush(waiting, (j * total // shares[i], i, j + 1))
-    return out
+        yield i
+        heapq.heappush(waiting, (j * total // shares[i], i, j + 1))
+        slot += 1
 
 
-def phases(blocks: list[int], shares: list[int]) -> list[dict]:
-    """For each phase and source with blocks in it: source, phase, first (block), count, start (slot), total, share and
-    places (slots of its blocks in a period). A phase ends before the first slot whose source has no block left."""
-    left, first, start, out, phase = list(blocks), [0] * len(blocks), 0, [], 0
-    while any(left):
-        active = [i for i, n in enumerate(left) if n]
-        weights = [shares[i] for i in active] if any(shares[i] for i in active) else [left[i] for i in active]
-        if not all(weights):  # sources without a weight wait until the others are through
-            active = [i for i, w in zip(active, weights) if w]
-            weights = [w for w in weights if w]
-        if not any(shares[i] for i in active):
-            weights = integer_shares([float(w) for w in weights])
-        places: list[list[int]] = [[] for _ in active]
-        order = period(weights)
-        for slot, k in enumerate(order):
-            places[k].append(slot)
-        total = len(order)
-        cycles = min(left[i] // w for i, w in zip(active, weights))
-        spare = [left[i] - cycles * w for i, w in zip(active, weights)]
-        stop = min((places[k][s] for k, s in enumerate(spare) if s < weights[k]), default=total)
-        for k, i in enumerate(active):
-            more = sum(p < stop for p in places[k])
-            n = cycles * weights[k] + more
-            if n:
-                out.append({"source_no": i, "phase": phase, "first": first[i], "count": n, "start": start, "total": total, "share": weights[k], "places": places[k]})
-            left[i] -= n
-            first[i] += n
-        start += cycles * total + stop
+def period(shares: list[int]) -> list[int]:
+    """The source of each slot of one period; all deviations are 0 at its end."""
+    return list(islice(order(shares), sum(shares)))
+
+
+def slots(blocks: list[int], shares: list[int]) -> Iterator[tuple[int, int, int]]:
+    """source, block (its number in the source) and phase of each slot, until every block has one. A phase ends before
+    the first slot whose source has no block left."""
+    left, phase = list(blocks), 0
+    while active := [i for i, n in enumerate(left) if n]:
+        if any(shares[i] for i in active):  # sources without a weight wait until the others are through
+            active = [i for i in active if shares[i]]
+            weights = [shares[i] for i in active]
+        else:
+            weights = [left[i] for i in active]
+        for k in order(weights):
+            i = active[k]
+            if not left[i]:
+                break
+            yield i, blocks[i] - left[i], phase
+            left[i] -= 1
         phase += 1
-    return out
 
 
-def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, resolution: int = RESOLUTION, seed: int = 0) -> DataFrame:
+def phases(blocks: list[int], shares: list[int]) -> list[dict]:
+    """``slots`` summed up, for each phase and source with blocks in it: source, phase, first (block), count, start
+    (slot), total (slots of the phase), share (blocks of the source in it) and places (their slots from the start)."""
+    out: dict[tuple[int, int], dict] = {}
+    start, length = {}, {}
+    for slot, (i, block, phase) in enumerate(slots(blocks, shares)):
+        place = slot - start.setdefault(phase, slot)
+        length[phase] = place + 1
+        out.setdefault((phase, i), {"source_no": i, "phase": phase, "first": block, "start": start[phase], "places": []})["places"].append(place)
+    return [p | {"count": len(p["places"]), "share": len(p["places"]), "total": length[p["phase"]]} for p in out.values()]
+
+
+def _plan(sources: DataFrame) -> DataFrame:
+    """_key, _block, _slot, _phase for every block of ``sources`` (_key, _blocks, _weight)."""
+    kind = sources.schema["_key"].dataType.simpleString()
+    members = sources.agg(F.sort_array(F.collect_list(F.struct("_key", "_blocks", "_weight"))).alias("members"))
+
+    def run(batches):
+        for b in batches:
+            for k in range(b.num_rows):
+                held = b.column(0).slice(k, 1).flatten()
+                keys, blocks, weights = (held.field(i) for i in range(3))
+                if not len(held):
+                    continue
+                slot, rows = 0, slots(blocks.to_pylist(), exact_shares(weights.to_pylist()))
+                while part := list(islice(rows, PLAN_ROWS)):
+                    at, block, phase = np.array(part, np.int64).T
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(block), pa.array(np.arange(slot, slot + len(part))), pa.array(phase.astype(np.int32))], ["_key", "_block", "_slot", "_phase"])
+                    slot += len(part)
+
+    return members.mapInArrow(run, f"_key {kind}, _block bigint, _slot bigint, _phase int")
+
+
+def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
     """``docs`` (doc_id, source, any more columns) with block (its number in the source), slot, position (ascending
     through the whole mixture) and phase. ``weights``: target weight of each source; without it n ** ``temperature``."""
     spark = docs.sparkSession
+    workers_find_package(spark)
     docs = docs.drop("block", "slot", "position", "phase")
-    counted = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(counted) > MAX_SOURCES:
+    counted = docs.groupBy(F.col("source").alias("_key")).agg(F.count(F.lit(1)).alias("_n"))
+    if weights is None:
+        target = counted.withColumn("_weight", F.pow(F.col("_n").cast("double"), F.lit(float(temperature))))
+    else:
+        kind = docs.schema["source"].dataType.simpleString()
+        given = spark.createDataFrame([(k, float(w)) for k, w in weights.items()], f"_given {kind}, _weight double")
+        target = counted.join(given, counted["_key"].eqNullSafe(given["_given"]), "left").drop("_given")
+    aims = F.when((F.col("_weight") > 0) & ~F.isnan("_weight"), F.col("_weight")).otherwise(F.lit(0.0))
+    sources = shared(target.select("_key", "_n", F.ceil(F.col("_n") / block_rows).cast("bigint").alias("_blocks"), aims.alias("_weight")))
+    shape = sources.agg(F.count(F.lit(1)).alias("sources"), F.sum("_n").alias("rows"), F.sum("_blocks").alias("blocks")).first()
+    if shape.sources > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    counted = sorted(counted, key=lambda r: (r.source is None, str(r.source)))
-    rows = sum(r.n for r in counted)
-    target = [float(weights.get(r.source, 0)) if weights is not None else r.n**temperature for r in counted]
-    known = [i for i, w in enumerate(target) if w > 0]
-    shares = [0] * len(counted)
-    for i, s in zip(known, integer_shares([target[i] for i in known], resolution) if known else []):
-        shares[i] = s
-    plan = phases([-(-r.n // block_rows) for r in counted], shares)
-    kind = docs.schema["source"].dataType.simpleString()
-    numbered = spark.createDataFrame([(i, r.source) for i, r in enumerate(counted)], f"source_no int, _source {kind}")
-    by_source: dict[int, list] = {}
-    for p in plan:
-        by_source.setdefault(p["source_no"], []).append((p["phase"], p["first"], p["count"], p["start"], p["total"], p["share"], p["places"]))
-    table = spark.createDataFrame(list(by_source.items()), "_no int, plan array<struct<phase: int, first: bigint, count: bigint, start: bigint, total: bigint, share: bigint, places: array<bigint>>>")
+    plan = shared(_plan(sources.drop("_n")))
 
     buckets = 1
-    while buckets < MAX_BUCKETS and rows > buckets * BUCKET_ROWS:
+    while buckets < MAX_BUCKETS and (shape.rows or 0) > buckets * BUCKET_ROWS:
         buckets *= 2
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    keyed = docs.join(F.broadcast(numbered), docs["source"].eqNullSafe(numbered["_source"])).drop("_source").withColumn("_order", order).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(buckets)))
-    each = keyed.groupBy("source_no", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = each.select(F.col("source_no").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("source_no", "_bucket").orderBy("_order", "doc_id")
-    ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, (F.col("source_no") == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_rank") + F.col("_offset"))
-    placed = ranked.withColumn("block", F.floor(F.col("_rank") / block_rows)).join(F.broadcast(table), F.col("source_no") == F.col("_no"))
-    mine = placed.withColumn("_p", F.get(F.filter("plan", lambda p: (p["first"] <= F.col("block")) & (F.col("block") < p["first"] + p["count"])), 0))
-    j = F.col("block") - F.col("_p.first")
-    slot = F.col("_p.start") + F.floor(j / F.col("_p.share")) * F.col("_p.total") + F.get(F.col("_p.places"), (j % F.col("_p.share")).cast("int"))
-    return mine.withColumn("slot", slot).select(*[F.col(f"`{c}`") for c in docs.columns], "block", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows).alias("position"), F.col("_p.phase").alias("phase"))
+    keyed = docs.withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(buckets)))
+    each = keyed.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id")
+    ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_rank") + F.col("_offset"))
+    placed = ranked.withColumn("block", F.floor(F.col("_rank") / block_rows)).join(broadcast_if_small(plan, shape.blocks or 0), F.col("source").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "block", F.col("_slot").alias("slot"), (F.col("_slot") * block_rows + F.col("_rank") % block_rows).alias("position"), F.col("_phase").alias("phase"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from itertools import islice
 
 import pytest
 
@@ -43,6 +44,23 @@ def test_mix_follows_the_weights(spark, make):
     assert Counter(r.block for r in got if r.source == "a") == Counter({k: 10 for k in range(60)})
 
 
+def test_uneven_weights_stay_within_a_block_of_the_target():
+    """Thousands of blocks, weights that no small number of shares can say, and one source beside 1,499 equal ones."""
+    from fractions import Fraction
+
+    uneven = [(85_470 if k == 0 else 8_997) ** 0.7 for k in range(20)]
+    for weights, n in ((uneven, 30_000), ([2**0.5, 3**0.5, 1e-3, 7.0], 30_000), ([0.5] + [0.5 / 1499] * 1499, 4_000)):
+        target, done = [Fraction(w) / sum(map(Fraction, weights)) for w in weights], Counter()
+        total = sum(shares := mixing.exact_shares(weights))
+        assert [Fraction(s, total) for s in shares] == target
+        for t, (i, block, phase) in enumerate(islice(mixing.slots([n] * len(weights), shares), n), 1):
+            assert phase == 0 and block == done[i]
+            done[i] += 1
+            assert abs(done[i] * total - t * shares[i]) < total
+            if t % 97 == 0 or t == n:
+                assert all(abs(done[k] * total - t * s) < total for k, s in enumerate(shares))
+
+
 def test_mix_is_the_same_at_every_layout(make):
     rows = [(i, None, None, f"s{i % 3}") for i in range(500)]
     a, b = ({r.doc_id: r.position for r in mixing.mix(make(rows).repartition(n)).collect()} for n in (1, 7))
