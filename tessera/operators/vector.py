@@ -37,6 +37,57 @@ def _best(query: np.ndarray, row: np.ndarray, distance: np.ndarray, k: int) -> t
     return query[keep], row[keep], distance[keep]
 
 
+def _query_sets(queries: DataFrame, query_id: str, query_column: str):
+    """Broadcasts of (ids, unit vectors): the queries with a vector, in sets of ``QUERY_BYTES``."""
+    rows = queries.filter(F.col(query_column).isNotNull()).select(query_id, F.col(query_column).cast("array<double>").alias("v"))
+    size = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.size("v"))).first()
+    if size[1] != size[2]:
+        raise E.ValidationFailed("query vectors of several dimensions")
+    per_set = max(1, QUERY_BYTES // (8 * max(1, size[1] or 0)))
+    sets = -(-size[0] // per_set)
+    for s in range(sets):
+        chosen = rows if sets == 1 else rows.filter(F.pmod(F.xxhash64(query_id), F.lit(sets)) == s)
+        got = chosen.toPandas()
+        if len(got):
+            yield queries.sparkSession.sparkContext.broadcast((got[query_id].to_numpy(np.int64), _unit(np.stack(got["v"].to_numpy()))))
+
+
+def _block(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of a batch of rows."""
+    v = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(v) != b.num_rows * dim:
+        raise ValueError(f"vectors of other than {dim} dimensions")
+    return b.column(0).to_numpy(zero_copy_only=False).astype(np.int64), _unit(v.reshape(b.num_rows, -1))
+
+
+def distances_to(queries: DataFrame, query_id: str, query_column: str, base: DataFrame, base_id: str, base_column: str) -> DataFrame:
+    """(query_id, base_id, distance) of every row of ``base`` to every one of the stated ``queries``.
+
+    As in ``knn_batch`` queries are broadcast in sets of ``QUERY_BYTES`` and each batch of ``base`` is one matrix product
+    with a block of them; nothing is shuffled. The result has a row for each pair. Null vectors are left out on both
+    sides; ids are whole numbers.
+    """
+    workers_find_package(base.sparkSession)
+    schema, parts = "query_id bigint, base_id bigint, distance double", None
+    for held in _query_sets(queries, query_id, query_column):
+
+        def run(batches, held=held):
+            ids, q = held.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                key, near = _block(b, q.shape[1])
+                step = max(1, (1 << 20) // len(key))
+                for i in range(0, len(ids), step):
+                    block = ids[i : i + step]
+                    d = 1 - np.clip(q[i : i + step] @ near.T, -1, 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(block, len(key))), pa.array(np.tile(key, len(block))), pa.array(d.ravel())], ["query_id", "base_id", "distance"])
+
+        kept = base.filter(F.col(base_column).isNotNull()).select(base_id, base_column).mapInArrow(run, schema)
+        parts = kept if parts is None else parts.unionByName(kept)
+    return parts if parts is not None else base.sparkSession.createDataFrame([], schema)
+
+
 def knn_batch(queries: DataFrame, query_id: str, query_column: str, base: DataFrame, base_id: str, base_column: str, k: int) -> DataFrame:
     """(query_id, base_id, distance, rank): the k nearest of ``base`` for each query.
 
@@ -45,33 +96,16 @@ def knn_batch(queries: DataFrame, query_id: str, query_column: str, base: DataFr
     are merged by query. ``base`` isn't shuffled. Null vectors are left out on both sides; ids are whole numbers.
     """
     workers_find_package(base.sparkSession)
-    rows = queries.filter(F.col(query_column).isNotNull()).select(query_id, F.col(query_column).cast("array<double>").alias("v"))
-    size = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.size("v"))).first()
     schema = "query_id bigint, base_id bigint, distance double"
-    if not size[0]:
-        return base.sparkSession.createDataFrame([], schema + ", rank int")
-    if size[1] != size[2]:
-        raise E.ValidationFailed("query vectors of several dimensions")
-    per_set = max(1, QUERY_BYTES // (8 * max(1, size[1])))
-    sets = -(-size[0] // per_set)
     parts = None
-    for s in range(sets):
-        chosen = rows if sets == 1 else rows.filter(F.pmod(F.xxhash64(query_id), F.lit(sets)) == s)
-        got = chosen.toPandas()
-        if not len(got):
-            continue
-        held = base.sparkSession.sparkContext.broadcast((got[query_id].to_numpy(np.int64), _unit(np.stack(got["v"].to_numpy()))))
+    for held in _query_sets(queries, query_id, query_column):
 
         def run(batches, held=held):
             ids, q = held.value
             for b in batches:
-                lists = b.column(1)
                 if not b.num_rows:
                     continue
-                v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                if len(v) != b.num_rows * q.shape[1]:
-                    raise ValueError(f"vectors of other than {q.shape[1]} dimensions")
-                near, key = _unit(v.reshape(b.num_rows, -1)), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                key, near = _block(b, q.shape[1])
                 order = np.argsort(key, kind="stable")
                 near, key = near[order], key[order]
                 half = near.astype(np.float32).T
@@ -95,6 +129,8 @@ def knn_batch(queries: DataFrame, query_id: str, query_column: str, base: DataFr
 
         kept = base.filter(F.col(base_column).isNotNull()).select(base_id, base_column).mapInArrow(run, schema)
         parts = kept if parts is None else parts.unionByName(kept)
+    if parts is None:
+        return base.sparkSession.createDataFrame([], schema + ", rank int")
     ranked = Window.partitionBy("query_id").orderBy(F.round("distance", 12), "base_id")
     return parts.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
 

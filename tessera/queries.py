@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.engine import Engine
 from tessera.functions.distance import cosine_distance
 from tessera.operators.graph import PropertyGraph
-from tessera.operators.vector import knn, knn_batch
+from tessera.operators.vector import distances_to, knn, knn_batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -72,6 +72,7 @@ _sql("order_desc", "supplier", "SELECT s_suppkey, s_acctbal FROM supplier ORDER
 _sql("order_multi", "customer", "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment, c_custkey LIMIT 50")
 _sql("order_hidden", "customer", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
 _sql("order_nulls", "documents labels", "SELECT d.doc_id AS doc_id, l.quality AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id LIMIT 100", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id LIMIT 100")
+_sql("order_nulls_whole", "documents labels", "SELECT d.doc_id AS doc_id, l.quality AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id")
 _sql("limit", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10")
 _sql("limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
 _sql("offset_only", "nation", "SELECT n_nationkey FROM nation ORDER BY n_nationkey OFFSET 5")
@@ -142,6 +143,28 @@ def two_valued_not_equal(spark, sf_dir):
     return engine.execute("SELECT COUNT(*) AS n FROM left_keys WHERE k != 3")
 
 
+# the same on whole tables, by ids of which some are null
+_WHOLE_KEYS = "WITH left_keys AS (SELECT doc_id, CASE WHEN doc_id % 7 != 0 THEN doc_id END AS k FROM documents), right_keys AS (SELECT doc_id AS label_id, CASE WHEN doc_id % 5 != 0 THEN doc_id END AS k FROM labels) "
+
+
+def _with_whole_keys(spark: SparkSession, sf_dir: str) -> Engine:
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    engine = Engine(spark)
+    engine.register("left_keys", docs.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")).alias("k")))
+    engine.register("right_keys", labels.select(F.col("doc_id").alias("label_id"), F.when(F.col("doc_id") % 5 != 0, F.col("doc_id")).alias("k")))
+    return engine
+
+
+@_query(_WHOLE_KEYS + "SELECT l.doc_id, r.label_id FROM left_keys l JOIN right_keys r ON l.k = r.k")
+def join_null_keys_whole(spark, sf_dir):
+    return _with_whole_keys(spark, sf_dir).execute("SELECT l.doc_id AS doc_id, r.label_id AS label_id FROM left_keys l JOIN right_keys r ON l.k = r.k")
+
+
+@_query(_WHOLE_KEYS + "SELECT doc_id FROM left_keys l WHERE NOT EXISTS (SELECT 1 FROM right_keys r WHERE r.k = l.k)")
+def not_in_with_nulls_whole(spark, sf_dir):
+    return _with_whole_keys(spark, sf_dir).execute("SELECT doc_id FROM left_keys WHERE k NOT IN (SELECT k FROM right_keys)")
+
+
 # -- subqueries
 _sql("in_subquery", "customer orders", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 350000.0)")
 _sql("in_subquery_where", "customer orders", "SELECT c_custkey FROM customer WHERE c_acctbal > 0.0 AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
@@ -178,6 +201,13 @@ def cosine_pairs(spark, sf_dir):
     return a.join(b, "label").select("a", "b", F.round(cosine_distance("va", "vb"), 6).alias("distance"))
 
 
+@_query(f"SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_DISTANCE} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0")
+def cosine_to_set(spark, sf_dir):
+    """The whole table against the stated set of vectors."""
+    v = _vectors(spark, sf_dir)
+    return distances_to(v.filter("vec_id % 50 = 0"), "vec_id", "embedding", v, "vec_id", "embedding").withColumn("distance", F.round("distance", 6))
+
+
 @_query(f"SELECT b.vec_id, {_DISTANCE} AS distance FROM embeddings a, embeddings b WHERE a.vec_id = 3 ORDER BY list_cosine_distance(a.embedding::double[], b.embedding::double[]), b.vec_id LIMIT 10")
 def knn_exact(spark, sf_dir):
     return knn(_vectors(spark, sf_dir), "embedding", _query_vector(spark, sf_dir, 3), 10, "vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
