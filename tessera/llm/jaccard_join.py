@@ -14,7 +14,8 @@ other than space and \\t \\n \\v \\f \\r); a text of fewer words is one shingle.
    isn't tested lies in one component already.
 4. The order of shingle digests is cut into ``fragments`` ranges. For every candidate pair the overlaps in each
    fragment are counted separately and summed per pair: no task has more than a fragment of a set.
-5. Components of the links, by hooking and pointer jumping.
+5. Components of the links, by hooking and pointer jumping. ``jaccard_links`` leaves the rounds out, tests all candidate
+   pairs and returns every link between classes.
 
 Defined cases: a null text or one without words has an empty set and links with nothing; rows that repeat a doc_id
 count as copies; a null doc_id gets a null component and takes no part; an empty table gives an empty result; further
@@ -250,13 +251,37 @@ def class_links(classes: DataFrame, percent: int, fragments: int, segment_keys:
     return links if links is not None else spark.createDataFrame([], "a bigint, b bigint, overlap bigint, na bigint, nb bigint")
 
 
+def all_links(classes: DataFrame, percent: int, fragments: int, segment_keys: int) -> DataFrame:
+    """Every link (a, b, overlap, na, nb; a < b) between classes: all candidate pairs that may link are tested, also
+    those that lie in one component already. Pairs grow with the square of a group of near copies, as its links do."""
+    postings = _ranked(classes, percent, segment_keys)
+    left, right = (postings.select("token", F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}"), F.col("pos").alias(f"p{c}")) for c in "ab")
+    pairs = shared(left.join(right, "token").filter("a < b").filter(_can_link(percent)).select("a", "b", "na", "nb").distinct())
+    return _linked(pairs, _fragments(classes, fragments), percent)
+
+
+def _classes(sets: DataFrame) -> DataFrame:
+    may = sets.filter("digest is not null and doc_id is not null")
+    return shared(may.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"), F.first("shingles").alias("shingles")))
+
+
+def _may_link(classes: DataFrame, percent: int) -> DataFrame:
+    # two sets of under percent / (100 - percent) shingles link only if they are equal
+    return classes.filter(F.col("n_shingles") * (100 - percent) >= percent - (100 - percent)).drop("rows", "digest")
+
+
+def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragments: int = FRAGMENTS, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
+    """One row for each linked pair of classes: class_a < class_b (the class_id of ``jaccard_components``), overlap
+    (shingles in common), n_a, n_b (shingles). Documents of one class_id link too and have no rows of their own."""
+    classes = _classes(shared(sized_sets(docs, size, percent, block_bytes, segment_keys)))
+    return all_links(_may_link(classes, percent), percent, fragments, segment_keys).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "overlap", F.col("na").alias("n_a"), F.col("nb").alias("n_b"))
+
+
 def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragments: int = FRAGMENTS, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, class_id (least doc_id with an equal set), component_id."""
     sets = shared(sized_sets(docs, size, percent, block_bytes, segment_keys))
-    may = sets.filter("digest is not null and doc_id is not null")
-    classes = shared(may.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.count(F.lit(1)).alias("rows"), F.first("shingles").alias("shingles")))
-    # two sets of under percent / (100 - percent) shingles link only if they are equal
-    links = class_links(classes.filter(F.col("n_shingles") * (100 - percent) >= percent - (100 - percent)).drop("rows", "digest"), percent, fragments, segment_keys)
+    classes = _classes(sets)
+    links = class_links(_may_link(classes, percent), percent, fragments, segment_keys)
     joined = components(links)
     named = classes.select("digest", "doc", "rows").join(joined, classes.doc == joined.node, "left").select("digest", "rows", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"))
     known = shared(named.filter(F.col("rows") > 1).unionByName(named.filter((F.col("rows") == 1) & (F.col("component_id") != F.col("class_id")))))

@@ -8,7 +8,7 @@ import numpy as np
 from tessera.llm import exchange as ex
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, repeated_filter
-from tessera.llm.jaccard_join import drop_near_duplicates, jaccard_components
+from tessera.llm.jaccard_join import drop_near_duplicates, jaccard_components, jaccard_links
 from tessera.llm.substring_dedup import repeated_passages
 
 WHITE = re.compile(r"[\x20\x09-\x0D]")
@@ -162,6 +162,28 @@ def test_jaccard_chain_of_links(make):
     assert got == {w[1] for w in brute_components(rows, 3, 90).values()} == {0}
 
 
+def test_jaccard_links_are_all_there(make):
+    """Every link between different texts, also inside groups of near copies whose component is known."""
+    base = [f"t{k}" for k in range(200)]
+    copies = [" ".join(base[: 5 * i] + [f"new{i}"] + base[5 * i + 1 :]) for i in range(36)]
+    texts = near_texts(3, 3, 20) + copies + random_texts(4, 20) + copies[:2] + ["a b c", "A b c", None]
+    rows = list(enumerate(texts))
+    for percent, size in ((90, 3), (60, 2)):
+        sets = {}
+        for i, t in rows:
+            w = [x for x in WHITE.split((t or "").lower()) if x]
+            if w:
+                sets.setdefault(frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))), i)
+        reps, want = sorted((i, x) for x, i in sets.items()), set()
+        for n, (b, y) in enumerate(reps):
+            for a, x in reps[:n]:
+                if 100 * len(x & y) >= percent * len(x | y):
+                    want.add((a, b, len(x & y), len(x), len(y)))
+        got = jaccard_links(make(rows), size, percent, block_bytes=4000, segment_keys=1000).collect()
+        assert len(got) == len(want) > 36 * 35 / 2 and set(map(tuple, got)) == want
+    assert jaccard_links(make(rows).limit(0)).count() == 0
+
+
 def test_jaccard_odd_rows(odd, empty):
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(odd).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 1, 6), (7, 1, 7)} <= got
