@@ -7,6 +7,13 @@ slot. For unit blocks in one sequence this meets every deadline, so at every slo
 away from its target. Shares are the weights themselves, as exact fractions: nothing is rounded, so the deviation stays
 below one block at every number of slots. One task makes the plan (a row for each block, so rows / ``block_rows``),
 batch by batch, and holds the sources only; documents meet their blocks' rows in a join.
+More than ``MAX_SOURCES`` sources are dealt into groups by a hash (and groups into groups, where they are as many): the
+groups are scheduled by the same rule with the sums of their weights, and the places that a group gets go to its
+sources by the same rule, each group in a task of its own. A source is then less than one block from its share of its
+group and the group less than one block from its target: less than two blocks with groups, three with groups of groups.
+A source that ends leaves its share to its group, and ``phase`` counts the ends in the source's groups: 0 is the
+source's full target.
+
 When a source has no block left, the rest go on with their own shares as the weights (a new phase); every document
 gets a place, and ``phase`` 0 is the mixture at full target.
 
@@ -35,6 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import broadcast_if_small, shared, workers_find_package
 
 BLOCK_ROWS = 64
+#: Sources that one task schedules; more are dealt into groups.
 MAX_SOURCES = 2000
 BUCKET_ROWS = 1024
 MAX_BUCKETS = 1 << 20
@@ -104,25 +112,48 @@ def phases(blocks: list[int], shares: list[int]) -> list[dict]:
     return [p | {"count": len(p["places"]), "share": len(p["places"]), "total": length[p["phase"]]} for p in out.values()]
 
 
-def _plan(sources: DataFrame) -> DataFrame:
-    """_key, _block, _slot, _phase for every block of ``sources`` (_key, _blocks, _weight)."""
-    kind = sources.schema["_key"].dataType.simpleString()
-    members = sources.agg(F.sort_array(F.collect_list(F.struct("_key", "_blocks", "_weight"))).alias("members"))
+def _scheduled(nodes: DataFrame) -> DataFrame:
+    """_group, _key, _block, _slot (in the group's own sequence), _phase for every block of ``nodes`` (_group, _key,
+    _blocks, _weight)."""
+    kind = nodes.schema["_key"].dataType.simpleString()
+    members = nodes.groupBy("_group").agg(F.sort_array(F.collect_list(F.struct("_key", "_blocks", "_weight"))).alias("members"))
 
     def run(batches):
         for b in batches:
             for k in range(b.num_rows):
-                held = b.column(0).slice(k, 1).flatten()
+                group, held = b.column(0)[k].as_py(), b.column(1).slice(k, 1).flatten()
                 keys, blocks, weights = (held.field(i) for i in range(3))
-                if not len(held):
-                    continue
                 slot, rows = 0, slots(blocks.to_pylist(), exact_shares(weights.to_pylist()))
                 while part := list(islice(rows, PLAN_ROWS)):
                     at, block, phase = np.array(part, np.int64).T
-                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(at)), pa.array(block), pa.array(np.arange(slot, slot + len(part))), pa.array(phase.astype(np.int32))], ["_key", "_block", "_slot", "_phase"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), group)), keys.take(pa.array(at)), pa.array(block), pa.array(np.arange(slot, slot + len(part))), pa.array(phase.astype(np.int32))], ["_group", "_key", "_block", "_slot", "_phase"])
                     slot += len(part)
 
-    return members.mapInArrow(run, f"_key {kind}, _block bigint, _slot bigint, _phase int")
+    return members.mapInArrow(run, f"_group bigint, _key {kind}, _block bigint, _slot bigint, _phase int")
+
+
+def _plan(sources: DataFrame, count: int, most: int) -> DataFrame:
+    """_key, _block, _slot, _phase for every block of the ``count`` ``sources`` (_key, _blocks, _weight)."""
+    nodes, plan, level = sources, None, 0
+    while True:
+        whole = count <= most
+        groups = max(1, -(-2 * count // most))  # half full by the mean, so a hash fills none far beyond
+        # a group's sources all have a weight or all have none
+        group = F.lit(0) if whole else F.pmod(F.xxhash64(F.lit(level), "_key"), F.lit(groups)) * 2 + F.when(F.col("_weight") > 0, 1).otherwise(0)
+        nodes = shared(nodes.withColumn("_group", group.cast("bigint")))
+        within = shared(_scheduled(nodes))
+        if plan is None:
+            plan = within
+        else:  # the group's sequence takes the slots of the group's blocks
+            step = within.select(F.col("_group").alias("_up"), F.col("_key").alias("_node"), F.col("_block").alias("_place"), F.col("_slot").alias("_at"), F.col("_phase").alias("_more"))
+            met = plan.join(step, (plan["_group"] == step["_node"]) & (plan["_slot"] == step["_place"]))
+            plan = shared(met.select(F.col("_up").alias("_group"), "_key", "_block", F.col("_at").alias("_slot"), (F.col("_phase") + F.col("_more")).alias("_phase")))
+        if whole:
+            return plan.drop("_group")
+        # weights are summed in one order, so that the sum is the same at every layout
+        held = nodes.groupBy("_group").agg(F.sum("_blocks").alias("_blocks"), F.sort_array(F.collect_list("_weight")).alias("w"))
+        nodes = shared(held.select(F.col("_group").alias("_key"), "_blocks", F.aggregate("w", F.lit(0.0), lambda x, y: x + y).alias("_weight")))
+        count, level = nodes.count(), level + 1
 
 
 def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPERATURE, block_rows: int = BLOCK_ROWS, seed: int = 0) -> DataFrame:
@@ -141,9 +172,7 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
     aims = F.when((F.col("_weight") > 0) & ~F.isnan("_weight"), F.col("_weight")).otherwise(F.lit(0.0))
     sources = shared(target.select("_key", "_n", F.ceil(F.col("_n") / block_rows).cast("bigint").alias("_blocks"), aims.alias("_weight")))
     shape = sources.agg(F.count(F.lit(1)).alias("sources"), F.sum("_n").alias("rows"), F.sum("_blocks").alias("blocks")).first()
-    if shape.sources > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    plan = shared(_plan(sources.drop("_n")))
+    plan = _plan(sources.drop("_n"), shape.sources, MAX_SOURCES)
 
     buckets = 1
     while buckets < MAX_BUCKETS and (shape.rows or 0) > buckets * BUCKET_ROWS:

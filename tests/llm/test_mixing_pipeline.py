@@ -61,6 +61,33 @@ def test_uneven_weights_stay_within_a_block_of_the_target():
                 assert all(abs(done[k] * total - t * s) < total for k, s in enumerate(shares))
 
 
+def test_every_number_of_sources_gets_a_mixture(spark, make, monkeypatch):
+    """More sources than a task schedules, down to groups of groups; half of some sources' kind without a weight."""
+    rows = [(i, None, None, None if i % 60 == 0 else f"s{i % 60}") for i in range(1800)]
+    weights = {None if k == 0 else f"s{k}": 1.0 + k % 7 for k in range(50)}
+    for most in (24, 6):
+        monkeypatch.setattr(mixing, "MAX_SOURCES", most)
+        got = mixing.mix(make(rows), weights, block_rows=1).collect()
+        assert sorted(r.doc_id for r in got) == list(range(1800)) and sorted(r.slot for r in got) == list(range(1800))
+        last = max(r.slot for r in got if r.source in weights)
+        assert last == 1499  # sources without a weight follow at the end
+        of, total, done = sorted(got, key=lambda r: r.slot), sum(weights.values()), Counter()
+        for t, r in enumerate(of, 1):
+            if r.phase:
+                break
+            assert r.block == done[r.source]
+            done[r.source] += 1
+            assert all(abs(done[s] - t * w / total) < (2 if most == 24 else 5) for s, w in weights.items())
+        assert t > 200
+        again = mixing.mix(make(rows).repartition(7), weights, block_rows=1).collect()
+        assert {r.doc_id: r.slot for r in again} == {r.doc_id: r.slot for r in got}
+
+
+def test_more_than_two_thousand_sources(make):
+    got = mixing.mix(make([(i, None, None, f"s{i % 2001}") for i in range(2500)])).collect()
+    assert len(got) == 2500 and len({r.position for r in got}) == 2500 and len({r.slot for r in got}) == 2001
+
+
 def test_mix_is_the_same_at_every_layout(make):
     rows = [(i, None, None, f"s{i % 3}") for i in range(500)]
     a, b = ({r.doc_id: r.position for r in mixing.mix(make(rows).repartition(n)).collect()} for n in (1, 7))
