@@ -105,6 +105,13 @@ def test_urls_against_brute_force(spark):
         assert (r.host, r.path, r.rule, r.verdict) == brute_verdict(urls[r.page_id], usable), urls[r.page_id]
 
 
+def test_urls_have_the_path_of_their_own_host(spark):
+    urls = ["http://example.com?next=http://b.org/en/x", "http://example.com#http://b.org/en/x", "http://example.com?u=://c/en/", "http://example.com/en/?u=http://b.org/x"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    got = judge_urls(pages, spark.createDataFrame([("example.com/en/", "block")], "rule string, verdict string")).collect()
+    assert {r.page_id: (r.host, r.path, r.verdict) for r in got} == {k: ("example.com", "/en/" if k == 3 else "", "block" if k == 3 else "allow") for k in range(4)}
+
+
 def test_urls_empty_tables(spark):
     rules = spark.createDataFrame(RULES, "rule string, verdict string")
     pages = spark.createDataFrame([(1, "http://com/")], "page_id bigint, url string")
