@@ -13,12 +13,17 @@ ROWS_PER_LABEL = 4000
 LABELS = 256
 
 
+def usable_labels(labels: DataFrame, column: str, modulus: int, held_out: int) -> DataFrame:
+    """_id, y of every label that a fit may see: none of the held-out fold, one of each id."""
+    usable = labels.select(F.col("doc_id").alias("_id"), F.col(column).alias("y")).filter(F.col("y").isNotNull() & F.col("_id").isNotNull() & (fold("_id", modulus) != held_out))
+    return usable.groupBy("_id").agg(F.max("y").alias("y"))
+
+
 def labels_for_fit(labels: DataFrame, column: str, modulus: int, held_out: int, rows: int = ROWS_PER_LABEL) -> DataFrame:
     """_id, y: about ``rows`` ids of each value of ``column``, none of the held-out fold. Null labels and ids are left
     out; of several labels of one id the greatest counts. The sample is chosen by a hash of the id, so it is the same
     at every run."""
-    usable = labels.select(F.col("doc_id").alias("_id"), F.col(column).alias("y")).filter(F.col("y").isNotNull() & F.col("_id").isNotNull() & (fold("_id", modulus) != held_out))
-    usable = usable.groupBy("_id").agg(F.max("y").alias("y"))
+    usable = usable_labels(labels, column, modulus, held_out)
     counts = usable.groupBy("y").count().orderBy(F.desc("count"), "y").limit(LABELS).collect()
     place = F.pmod(F.xxhash64(F.lit("fit"), F.col("_id")), F.lit(1 << 30))
     keep = F.lit(False)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import lang_id
 from tessera.llm import textvec as tv
-from tessera.llm.labelled import texts_for_fit
+from tessera.llm.labelled import texts_for_fit, usable_labels
 from tessera.llm.quality import _WORD, held_out_column, with_scores
 
 ROWS_PER_LABEL = 2000
@@ -202,8 +202,9 @@ def fit_sample(docs: list[np.ndarray], y: np.ndarray, features: np.ndarray, lang
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "toxic", modulus: int = MODULUS, held_out: int = HELD_OUT, rows: int = ROWS_PER_LABEL) -> Model:
-    sizes = {int(y): n for y, n in labels.filter(F.col(column).isin(0, 1)).groupBy(column).count().collect()}
-    sample = texts_for_fit(docs, labels.filter(F.col(column).isin(0, 1)), column, modulus, held_out, rows, lang=True)
+    labels = labels.filter(F.col(column).isin(0, 1))
+    sizes = {int(y): n for y, n in usable_labels(labels, column, modulus, held_out).groupBy("y").count().collect()}
+    sample = texts_for_fit(docs, labels, column, modulus, held_out, rows, lang=True)
 
     def run(batches):
         for b in batches:

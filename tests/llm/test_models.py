@@ -159,3 +159,11 @@ def test_token_counts_match_a_library(spark):
     ours = token_counts.Vocabulary.of(pieces, scores).counts([w.encode() for w in words])
     same = [len(library.encode(w).ids) == n for w, n in zip(words, ours.tolist())]
     assert np.mean(same) > 0.99  # ties of equal sums may split otherwise
+
+
+def test_toxicity_weighs_by_labels_outside_the_held_out_fold(spark, make, monkeypatch):
+    rows, labels = [(i, f"some words {i}") for i in range(60)], [(i, 1, int(i % 3 == 0)) for i in range(60)]
+    monkeypatch.setattr(toxicity, "fit_sample", lambda docs, y, features, langs, share: (y, share))
+    y, share = toxicity.fit(make(rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    seen = [t for i, _, t in labels if zlib.crc32(str(i).encode()) % toxicity.MODULUS != toxicity.HELD_OUT]
+    assert len(seen) < 60 and [round(float(share[y == k].sum()), 6) for k in (0, 1)] == [seen.count(0), seen.count(1)]
