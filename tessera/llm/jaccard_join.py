@@ -7,15 +7,19 @@ other than space and \\t \\n \\v \\f \\r); a text of fewer words is one shingle.
 1. A count-min sketch over all documents' shingles (``exchange.CountMin``) leaves out documents whose shingles are
    mostly single: a link needs percent / 100 of the larger set in common.
 2. Equal sets become one class with its least doc_id; classes go on, copies don't.
-3. Shingles get a global order, rarest first (exact counts over the classes). Sets that link share a shingle in their
-   prefixes (n - ceil(percent * n / 100) + 1 first shingles), which gives candidate pairs. In each of the first rounds
-   every class meets one centre of its posting lists, and only across components that aren't joined yet, so a group
-   of n near copies costs n pairs a round; the pairs that remain across components after them are all tested. Whatever
-   isn't tested lies in one component already.
-4. The order of shingle digests is cut into ``fragments`` ranges. For every candidate pair the overlaps in each
-   fragment are counted separately and summed per pair: no task has more than a fragment of a set.
-5. Components of the links, by hooking and pointer jumping. ``jaccard_links`` leaves the rounds out, tests all candidate
-   pairs and returns every link between classes.
+3. Shingles get a global order, rarest first (exact counts over the classes), which is cut into fragments; each class
+   has a segment in each fragment, without shingles that no other class has.
+4. Candidates are pairs that share a shingle in their prefixes (a set's n - ceil(percent * n / 100) + 1 first
+   shingles), have sizes that fit, and can have enough in common by the shingle's places in both segments and by
+   counts of both sets' shingles in ``BINS`` bins.
+5. Partial overlaps of a candidate pair are counted in each fragment separately and summed per pair.
+6. So that a group of n near copies doesn't cost n * n pairs, every class first meets one centre of its lists (4 and 5
+   for these pairs); the links give labels (two rounds of components), and afterwards only pairs across labels are
+   candidates. Whatever isn't tested lies in one component already. Where many pairs remain, another centre is met
+   before all that remain are tested.
+7. Components of the links. ``jaccard_links`` leaves step 6 out and returns every link between classes.
+
+Long lists of a shingle split over tasks by Spark's skew join; no task has more than a list's part or a segment.
 
 Defined cases: a null text or one without words has an empty set and links with nothing; rows that repeat a doc_id
 count as copies; a null doc_id gets a null component and takes no part; an empty table gives an empty result; further
@@ -34,10 +38,15 @@ from tessera.llm import textvec as tv
 from tessera.llm.common import shared
 from tessera.llm.components import components
 
-SIZE, PERCENT, FRAGMENTS = 3, 90, 4
-#: Rounds in which each class meets one centre, unless the pairs that remain and may link are fewer than FEW a posting;
-#: they are counted where the lists have at most MANY pairs a posting.
-ROUNDS, FEW, MANY = 3, 2, 500
+SIZE, PERCENT = 3, 90
+#: Ranges of digests that each power of two of the count is cut into; a power of two.
+PARTS = 4
+#: Values of a digest's last bits by which a set's shingles are counted; a power of two. Counts stop at _FULL, where the
+#: bound isn't used.
+BINS, _FULL = 32, 32_000
+#: Rounds in which each class meets one centre. They end as soon as the pairs that remain and may link are at most FEW
+#: a posting; these are counted where the lists have at most MANY pairs a posting.
+CENTRES, FEW, MANY = 3, 2, 500
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +119,15 @@ def _set_digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def _ranked(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
-    """Prefix postings of the classes in rarest-first order: token, doc, n, m (shingles that other classes have too),
-    pos (the token's place among those), typical (the mean count of the class's shingles).
+def cut_sets(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
+    """The classes' sets, without shingles that no other class has, cut into fragments of the global order: one row a
+    class and fragment with doc, fragment, part (its digests in order), start (shingles before them), lead (how many of
+    them lie in the prefix), n, m (all shingles, those kept), typical (mean count) and bins (kept shingles by BINS
+    values of a digest's last bits, which bound overlaps from above). Classes with an empty prefix link with nothing
+    and are left out.
 
-    Counts are exact: blocks ask the shingles' segments, as in ``exchange``. Of tokens with the very same list of
-    classes one stays: the others propose the same pairs.
+    The global order is rarest first by powers of two of the exact count, then by digest; a fragment is one such power
+    and one of ``PARTS`` ranges of digests. Counts: blocks ask the shingles' segments, as in ``exchange``.
     """
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     segments = ex.segments_for(total, segment_keys)
@@ -147,117 +159,129 @@ def _ranked(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
         parts = np.split(count, np.cumsum([len(k) for k in keys])[:-1])
         return pa.table({"block": t.column("block"), "segment": t.column("segment"), "answer": pa.array([ex.pack(x) for x in parts], pa.binary())})
 
-    def rank(t: pa.Table, answers: pa.Table) -> pa.Table:
-        token, doc, size, more, pos, typical = [], [], [], [], [], []
-        if t.num_rows:
-            values, first = values_of(t)
-            keys, where = np.unique(values, return_inverse=True)
-            at, told = bounds(keys), _answers(answers)
-            count = np.concatenate([ex.unpack(told[s], "<u8") for s in np.flatnonzero(np.diff(at)).tolist()])[where]
-            for d, a, b in zip(t.column("doc").to_pylist(), first[:-1].tolist(), first[1:].tolist()):
-                n, single = b - a, int((count[a:b] < 2).sum())
-                order = np.lexsort((values[a:b], count[a:b]))[single : n - int(_needed(np.int64(n), percent)) + 1]
-                k = len(order)
-                token.append(values[a:b][order])
-                pos.append(np.arange(k))
-                for column, value in ((doc, d), (size, n), (more, n - single)):
-                    column.append(np.full(k, value))
-                typical.append(np.full(k, count[a:b].mean()))
-        flat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.table({"token": pa.array(flat(token).view(np.int64)), "doc": pa.array(flat(doc), pa.int64()), "n": pa.array(flat(size), pa.int64()), "m": pa.array(flat(more), pa.int64()), "pos": pa.array(flat(pos), pa.int64()), "typical": pa.array(flat(typical), pa.float64())})
+    def cut(t: pa.Table, answers: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return _parts(*[np.empty(0, np.int64)] * 7, np.zeros(1, np.int64), np.empty(0), np.empty((0, BINS)))
+        values, first = values_of(t)
+        keys, where = np.unique(values, return_inverse=True)
+        at, told = bounds(keys), _answers(answers)
+        count = np.concatenate([ex.unpack(told[s], "<u8") for s in np.flatnonzero(np.diff(at)).tolist()])[where].astype(np.int64)
+        rows, n = t.num_rows, np.diff(first)
+        owner = np.repeat(np.arange(rows), n)
+        typical = np.bincount(owner, weights=count, minlength=rows) / n
+        prefix = np.maximum(np.bincount(owner, weights=count > 1, minlength=rows).astype(np.int64) - _needed(n, percent) + 1, 0)
+        held = (count > 1) & (prefix[owner] > 0)
+        values, owner, band = values[held], owner[held], np.log2(count[held]).astype(np.int64)
+        m = np.bincount(owner, minlength=rows)
+        fragment = band * PARTS + (values >> np.uint64(64 - PARTS.bit_length() + 1)).astype(np.int64)
+        order = np.lexsort((values, fragment, owner))
+        values, owner, fragment = values[order], owner[order], fragment[order]
+        new = np.ones(len(values), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])
+        begin = np.flatnonzero(new)
+        doc = owner[begin]
+        start = begin - np.concatenate([[0], np.cumsum(m)])[doc]
+        lead = np.clip(prefix[doc] - start, 0, np.diff(np.append(begin, len(values))))
+        bins = np.bincount(owner * BINS + (values & np.uint64(BINS - 1)).astype(np.int64), minlength=rows * BINS).reshape(rows, BINS)
+        ids = t.column("doc").to_numpy()
+        return _parts(ids[doc], fragment[begin], start, lead, n[doc], m[doc], values, np.append(begin, len(values)), typical[doc], np.minimum(bins, _FULL)[doc])
 
     answers = blocks.groupBy("block").applyInArrow(ask, ex.ASK).groupBy("segment").applyInArrow(answer, ex.ANSWER)
-    postings = shared(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rank, "token bigint, doc bigint, n bigint, m bigint, pos bigint, typical double"))
-    sign = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "doc"))  # noqa: E731  with the size and twice 64 bits, a list's signature
-    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), sign(1).alias("s1"), sign(2).alias("s2"))
-    kept = lists.filter("size > 1").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token")
-    return postings.join(kept, "token", "left_semi")
+    return shared(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(cut, _PARTS))
 
 
-def _fragments(classes: DataFrame, count: int) -> DataFrame:
-    """Each class's set cut by the order of digests: doc, fragment, part (array of digests)."""
+_PARTS = "doc bigint, fragment bigint, start bigint, lead bigint, n bigint, m bigint, typical double, bins array<smallint>, part array<bigint>"
 
-    def cut(batches):
-        for b in batches:
-            doc, number, part = [], [], []
-            for d, raw in zip(b.column("doc").to_pylist(), b.column("shingles").to_pylist()):
-                values = np.frombuffer(raw, "<u8")
-                at = ex.by_segment(values, 64, count) if count > 1 else np.array([0, len(values)])
-                for f in np.flatnonzero(np.diff(at)).tolist():
-                    doc.append(d)
-                    number.append(f)
-                    part.append(values[at[f] : at[f + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(number, pa.int64()), pa.array(part, pa.list_(pa.int64()))], ["doc", "fragment", "part"])
 
-    return classes.select("doc", "shingles").mapInArrow(cut, "doc bigint, fragment bigint, part array<bigint>")
+def _parts(doc, fragment, start, lead, n, m, values, at, typical, bins) -> pa.Table:
+    first = lead > 0  # only postings need the bins
+    held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(first * BINS)]), pa.int32()), pa.array(bins[first].ravel().astype(np.int16)))
+    part = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(values.view(np.int64)))
+    columns = [pa.array(x.astype(np.int64)) for x in (doc, fragment, start, lead, n, m)]
+    return pa.Table.from_arrays([*columns, pa.array(typical.astype(float)), held, part], ["doc", "fragment", "start", "lead", "n", "m", "typical", "bins", "part"])
+
+
+def prefix_postings(cut: DataFrame) -> DataFrame:
+    """Of each fragment the prefix postings: token, doc, n, m, pos (the token's place among the class's m), typical,
+    bins. Of tokens with the very same list of classes one stays: the others propose the same pairs."""
+    lead = cut.filter("lead > 0").select("doc", "n", "m", "typical", "bins", "start", F.posexplode(F.slice("part", F.lit(1), F.col("lead").cast("int"))).alias("i", "token"))
+    postings = lead.select("token", "doc", "n", "m", (F.col("start") + F.col("i")).alias("pos"), "typical", "bins")
+    sign = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "doc"))  # noqa: E731  with the size and twice 64 bits, a list's signature
+    lists = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size"), sign(1).alias("s1"), sign(2).alias("s2"))
+    kept = lists.filter("size > 1").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token")
+    return shared(postings.join(kept, "token", "left_semi"))
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: partial overlaps by fragment, summed per pair."""
-    left = fragments.select(F.col("doc").alias("a"), "fragment", F.col("part").alias("part_a"))
-    right = fragments.select(F.col("doc").alias("b"), "fragment", F.col("part").alias("part_b"))
+def linked(pairs: DataFrame, cut: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) that link: partial overlaps counted in each fragment, summed per pair."""
+    left = cut.select(F.col("doc").alias("a"), "fragment", F.col("part").alias("part_a"))
+    right = cut.select(F.col("doc").alias("b"), "fragment", F.col("part").alias("part_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("part_a", "part_b")).alias("overlap"))
     both = F.col("overlap")
     return partial.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap")).filter(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b", "overlap", "na", "nb")
 
 
 def _can_link(percent: int):
-    """Of postings a, b of one token: sizes near enough, and enough common shingles before and behind it to link."""
+    """Of postings a, b of one token: sizes near enough, and enough shingles that may be common to link: by the
+    token's places in both sets, and by the bins of both."""
     least = F.ceil(percent * (F.col("na") + F.col("nb")) / (100.0 + percent) - 1e-9)
     most = F.least(F.col("ma") - F.col("pa"), F.col("mb") - F.col("pb")) + F.least("pa", "pb")
-    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most >= least)
+    bins = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + F.when(x < _FULL, x).otherwise(F.lit(1 << 24)))
+    return (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (most >= least) & (bins >= least)
+
+
+def _side(postings: DataFrame, x: str, *more: str) -> DataFrame:
+    names = {"doc": x, "n": f"n{x}", "m": f"m{x}", "pos": f"p{x}", "bins": f"b{x}", "label": f"l{x}"}
+    return postings.select("token", *[F.col(c).alias(names[c]) for c in names if c in postings.columns], *more)
+
 
+def _in_order(pairs: DataFrame) -> DataFrame:
+    swap = F.col("a") > F.col("b")
+    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+    return pairs.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
 
-def class_links(classes: DataFrame, percent: int, fragments: int, segment_keys: int) -> DataFrame:
+
+def class_links(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
     """Links (a, b) between classes that have the components of all links."""
-    postings = shared(_ranked(classes, percent, segment_keys))
-    cut = _fragments(classes, fragments)
+    cut = cut_sets(classes, percent, segment_keys)
+    postings = prefix_postings(cut)
     n_postings = postings.count()
-    labels = shared(postings.select(F.col("doc").alias("node"), F.col("doc").alias("component")).distinct())
-    links = tested = None
-    for step in range(ROUNDS + 1):
-        now = postings.join(labels, postings.doc == labels.node).drop("node")
-        lists = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        lists = shared(lists)
-        across = lists.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0]
-        if not across:
-            break
-        live = now.join(lists.select("token"), "token", "left_semi")
-        last = step == ROUNDS
-        right = live.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        left = live.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma"), F.col("pos").alias("pa"), F.col("component").alias("ca"), "typical")
-        rest = left.drop("typical").join(right, "token").filter("a < b and ca != cb").filter(_can_link(percent))
-        if step and not last and across <= MANY * n_postings:  # few enough to count those that may link
-            last = rest.count() <= FEW * n_postings
+    labels = links = tested = None
+    for step in range(CENTRES + 1):
+        now = postings.withColumn("label", F.col("doc")) if labels is None else postings.join(labels, postings.doc == labels.node, "left").withColumn("label", F.coalesce("label", "doc")).drop("node")
+        if labels is not None:  # lists of one label propose nothing more
+            open_lists = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+            now = now.join(open_lists, "token", "left_semi")
+        rest = _side(now, "a").join(_side(now, "b"), "token").filter("a < b and la != lb").filter(_can_link(percent)).select("a", "b", "na", "nb")
+        last = step == CENTRES
+        if step and not last:
+            sizes = now.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
+            last = sizes <= FEW * n_postings or sizes <= MANY * n_postings and rest.count() <= FEW * n_postings
         if last:
-            both = rest
-        else:
-            # a list's centre is its most typical member, in later rounds one by a hash that changes each round
-            order = F.struct(F.xxhash64(F.col("a"), F.lit(step)) if step else -F.col("typical"), F.col("a"))
-            centre = left.groupBy("token").agg(F.min(order).alias("rank"), F.min_by(F.struct("a", "na", "ma", "pa", "ca"), order).alias("x")).select("token", "rank", "x.*")
-            met = right.join(centre, "token").filter("a != b and ca != cb").filter(_can_link(percent))
-            met = met if tested is None else met.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")}).join(tested.toDF("x", "y"), ["x", "y"], "left_anti")
-            both = met.groupBy("b", "nb").agg(F.min_by(F.struct("a", "na"), "rank").alias("c")).select("b", "nb", "c.a", "c.na")
-        pairs = both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
+            met = rest
+        else:  # a list's centre is its most typical member, in later rounds one by a hash that changes each round
+            order = F.struct(F.xxhash64(F.col("doc"), F.lit(step)) if step else -F.col("typical"), F.col("doc"))
+            centre = now.groupBy("token").agg(F.min(order).alias("rank"), F.min_by(F.struct("doc", "n", "m", "pos", "bins", "label"), order).alias("x")).select("token", "rank", "x.*")
+            near = _side(now, "b").join(_side(centre, "a", "rank"), "token").filter("a != b and la != lb").filter(_can_link(percent))
+            met = near.groupBy("b", "nb").agg(F.min_by(F.struct("a", "na"), "rank").alias("c")).select("b", "nb", "c.a", "c.na")
+        pairs = _in_order(met)
         pairs = shared(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        found = shared(_linked(pairs, cut, percent))
+        found = shared(linked(pairs, cut, percent))
         links = found if links is None else links.unionByName(found)
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         if last:
             break
-        joined = components(links)
-        labels = shared(labels.select("node").join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")))
-    spark = classes.sparkSession
-    return links if links is not None else spark.createDataFrame([], "a bigint, b bigint, overlap bigint, na bigint, nb bigint")
+        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
+        labels = components(links, rounds=2).withColumnRenamed("component", "label")
+    return links
 
 
-def all_links(classes: DataFrame, percent: int, fragments: int, segment_keys: int) -> DataFrame:
+def all_links(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
     """Every link (a, b, overlap, na, nb; a < b) between classes: all candidate pairs that may link are tested, also
     those that lie in one component already. Pairs grow with the square of a group of near copies, as its links do."""
-    postings = _ranked(classes, percent, segment_keys)
-    left, right = (postings.select("token", F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("m").alias(f"m{c}"), F.col("pos").alias(f"p{c}")) for c in "ab")
-    pairs = shared(left.join(right, "token").filter("a < b").filter(_can_link(percent)).select("a", "b", "na", "nb").distinct())
-    return _linked(pairs, _fragments(classes, fragments), percent)
+    cut = cut_sets(classes, percent, segment_keys)
+    postings = prefix_postings(cut)
+    pairs = shared(_side(postings, "a").join(_side(postings, "b"), "token").filter("a < b").filter(_can_link(percent)).select("a", "b", "na", "nb").distinct())
+    return linked(pairs, cut, percent)
 
 
 def _classes(sets: DataFrame) -> DataFrame:
@@ -270,18 +294,18 @@ def _may_link(classes: DataFrame, percent: int) -> DataFrame:
     return classes.filter(F.col("n_shingles") * (100 - percent) >= percent - (100 - percent)).drop("rows", "digest")
 
 
-def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragments: int = FRAGMENTS, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
+def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
     """One row for each linked pair of classes: class_a < class_b (the class_id of ``jaccard_components``), overlap
     (shingles in common), n_a, n_b (shingles). Documents of one class_id link too and have no rows of their own."""
     classes = _classes(shared(sized_sets(docs, size, percent, block_bytes, segment_keys)))
-    return all_links(_may_link(classes, percent), percent, fragments, segment_keys).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "overlap", F.col("na").alias("n_a"), F.col("nb").alias("n_b"))
+    return all_links(_may_link(classes, percent), percent, segment_keys).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "overlap", F.col("na").alias("n_a"), F.col("nb").alias("n_b"))
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fragments: int = FRAGMENTS, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, class_id (least doc_id with an equal set), component_id."""
     sets = shared(sized_sets(docs, size, percent, block_bytes, segment_keys))
     classes = _classes(sets)
-    links = class_links(_may_link(classes, percent), percent, fragments, segment_keys)
+    links = class_links(_may_link(classes, percent), percent, segment_keys)
     joined = components(links)
     named = classes.select("digest", "doc", "rows").join(joined, classes.doc == joined.node, "left").select("digest", "rows", F.col("doc").alias("class_id"), F.coalesce("component", "doc").alias("component_id"))
     known = shared(named.filter(F.col("rows") > 1).unionByName(named.filter((F.col("rows") == 1) & (F.col("component_id") != F.col("class_id")))))
