@@ -44,9 +44,9 @@ PARTS = 4
 #: Values of a digest's last bits by which a set's shingles are counted; a power of two. Counts stop at _FULL, where the
 #: bound isn't used.
 BINS, _FULL = 32, 32_000
-#: Rounds in which each class meets one centre. They end as soon as the pairs that remain and may link are at most FEW
-#: a posting; these are counted where the lists have at most MANY pairs a posting.
-CENTRES, FEW, MANY = 3, 2, 500
+#: Rounds in which each class meets one centre; they end as soon as the pairs that remain and may link are at most FEW
+#: a posting.
+CENTRES, FEW = 3, 2
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -255,8 +255,7 @@ def class_links(classes: DataFrame, percent: int, segment_keys: int) -> DataFram
         rest = _side(now, "a").join(_side(now, "b"), "token").filter("a < b and la != lb").filter(_can_link(percent)).select("a", "b", "na", "nb")
         last = step == CENTRES
         if step and not last:
-            sizes = now.groupBy("token").agg(F.count(F.lit(1)).alias("c")).agg(F.sum(F.col("c") * F.col("c"))).first()[0] or 0
-            last = sizes <= FEW * n_postings or sizes <= MANY * n_postings and rest.count() <= FEW * n_postings
+            last = rest.count() <= FEW * n_postings
         if last:
             met = rest
         else:  # a list's centre is its most typical member, in later rounds one by a hash that changes each round
