@@ -45,14 +45,26 @@ def test_decontamination_against_brute_force(spark, make, monkeypatch):
     rows, items = corpus(1)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute(rows, items, 6)
-    for most in (D.IN_SET, 3):  # terms in a hash set, and the join beyond it
-        monkeypatch.setattr(D, "IN_SET", most)
+    for block, part, broadcast in ((1024, 50_000, 200_000), (7, 40, 0)):  # blocks shorter than texts, phrases in parts, joins that shuffle
+        monkeypatch.setattr(D, "BLOCK", block)
+        monkeypatch.setattr(D, "PART_PHRASES", part)
+        monkeypatch.setattr(D, "BROADCAST_ROWS", broadcast)
         got = D.contamination(make(rows), bench, 6).collect()
         assert {r.doc_id: (r.n_words, r.n_hit, r["items"], r.contaminated) for r in got} == want
+        assert all(set(r["items"]) <= set(r.near_items) for r in got)
     kept = D.drop_contaminated(make(rows), bench, window=6)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, w in want.items() if not w[3])
 
 
+def test_decontamination_judges_each_row_alone(spark, make):
+    """Null and repeated ids with different texts."""
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id bigint, text string")
+    docs = make([(None, "one two three four"), (None, "x one two three four"), (None, "nothing here"), (7, "one two three four"), (7, "quite clean"), (7, None)])
+    got = sorted((r.n_words, r.n_hit, r.contaminated) for r in D.contamination(docs, bench).collect())
+    assert got == [(0, 0, False), (2, 0, False), (2, 0, False), (4, 4, True), (4, 4, True), (5, 4, True)]
+    assert sorted(str(r.text) for r in D.drop_contaminated(docs, bench).collect()) == ["None", "nothing here", "quite clean"]
+
+
 def test_decontamination_odd_rows(spark, odd, empty, make):
     bench = spark.createDataFrame([(1, "one two three four"), (2, None), (1, "one two three four")], "item_id bigint, text string")
     got = D.contamination(odd, bench).collect()
@@ -65,15 +77,31 @@ def test_decontamination_odd_rows(spark, odd, empty, make):
     assert kept.columns == odd.columns and kept.count() == 6
 
 
-def test_proximity(spark, make):
-    docs = make([(1, "rare1 x rare2 the"), (2, "rare1 " + "the " * 40 + "rare2"), (3, "rare1 rare2 the")])
-    phrases = D.phrases_of(spark.createDataFrame([(1, "rare1 rare2 the")], "item_id bigint, text string"), 3)
-    counts = D.corpus_counts(docs, phrases.selectExpr("explode(words) as term").distinct(), 3)
-    anchors = D.anchors_of(phrases, counts, 3)
-    index = D.anchor_index(docs, anchors.select("term").distinct(), 2, 3)
-    near = lambda slop: {r.doc_id for r in D.matches(index, phrases, anchors, 2, 3, True, slop).collect()}
-    assert near(0) == {3} and near(2) == {1, 3} and near(99) == {1, 2, 3}
-    assert {r.doc_id for r in D.matches(index, phrases, anchors, 2, 3).collect()} == {3}
+def test_proximity_against_brute_force(spark, make, monkeypatch):
+    rng = random.Random(5)
+    rows, items = corpus(3)
+    rows = [(i, t if i % 2 or not t else " ".join(w for w in t.replace(",", "").split() if rng.random() < 0.9)) for i, t in rows]
+    bench = spark.createDataFrame([*items, (60, "W1 never W2 the W3")], "item_id bigint, text string")
+    for block, slop, percent in ((1024, 2, 60), (6, 1, 60), (6, 0, 100)):
+        monkeypatch.setattr(D, "BLOCK", block)
+        phrases = D.phrases_of(bench, 5)
+        vocabulary = phrases.selectExpr("explode(words) as w").select(D._term(D.F.col("w")).alias("key")).distinct()
+        index = D.positional_index(make(rows), 5, slop)
+        anchors = D.anchored(phrases, D.index_counts(index, vocabulary, 99, 5 + slop), 99)
+        ids = {r.row: r.doc_id for r in index.select("row", "doc_id").collect()}
+        words = {r.phrase_id: r.words for r in phrases.collect()}
+        got = {(r.phrase_id, ids[r.row], r.start): (r.n_near, r.exact) for r in D.matches(index, anchors, 99, 5, percent, slop).collect()}
+        want = {}
+        for r in anchors.collect():
+            g = words[r.phrase_id]
+            for i, t in rows:
+                w = WORD.findall((t or "").translate(LOW))
+                for p in [k for k in range(len(w)) if w[k] == g[r.offset]]:
+                    start = p - r.offset
+                    near = 1 + sum(any(0 <= start + o + d < len(w) and w[start + o + d] == g[o] for d in range(-slop, slop + 1)) for o in range(len(g)) if o != r.offset)
+                    if near * 100 >= len(g) * percent:
+                        want[r.phrase_id, i, start] = (near, start >= 0 and w[start : start + len(g)] == g)
+        assert got == want and any(not x for _, x in got.values()) == (slop > 0)
 
 
 def brute_verdict(url, rules):
