@@ -34,7 +34,7 @@ WINDOW = 13
 #: Proximity: this share of a phrase's terms, each at most SLOP words from its place.
 PERCENT, SLOP = 80, 2
 #: Words of a block of the index, and bits of a posting that hold its place in the block.
-BLOCK, BITS = 1024, 13
+BLOCK, BITS = 256, 13
 #: Phrases that are broadcast at once (some 400 bytes each).
 PART_PHRASES = BROADCAST_ROWS // 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -49,7 +49,10 @@ def _lowered(word: Column) -> Column:
 
 def _raw_words(text: Column) -> Column:
     """Words in their own case; text may start or end with a gap, which gives empty strings to be left out."""
-    return F.filter(F.split(F.coalesce(text.cast("string"), F.lit("")), GAP), lambda w: w != "")
+    found = F.split(F.coalesce(text.cast("string"), F.lit("")), GAP)
+    first = F.when(F.get(found, F.lit(0)) == "", 2).otherwise(1)
+    last = F.size(found) - F.when(F.element_at(found, -1) == "", 1).otherwise(0)
+    return F.slice(found, first, F.greatest(last - first + 1, F.lit(0)))
 
 
 def _term(word: Column) -> Column:
@@ -126,7 +129,7 @@ def matches(index: DataFrame, anchors: DataFrame, n_anchors: int, window: int =
     """phrase_id, row, start, length, n_near (terms at most ``slop`` words from their places), exact: a row a proximity
     match (which all exact matches are). A start below 0 is that of a phrase whose first words lie before the text."""
     margin, parts = _margin(window, slop), max(1, -(-n_anchors // PART_PHRASES))
-    near_by = range(-slop, slop + 1)
+    near_by = sorted(range(-slop, slop + 1), key=abs)
     may_miss = lambda length: length - F.ceil(length * percent / 100.0).cast("int")
     columns = window - -(-window * percent // 100) + 1  # of the rarest so many others one must be near
     a = anchors.select("phrase_id", "length", F.col("key").alias("key"), "offset", "others", (F.size("others") <= may_miss(F.col("length"))).alias("free"), *[F.when(F.lit(j) <= may_miss(F.col("length")), F.get("others", F.lit(j))).alias(f"o{j}") for j in range(columns)])
@@ -143,10 +146,12 @@ def matches(index: DataFrame, anchors: DataFrame, n_anchors: int, window: int =
         own = F.col("begin").between(margin, margin + BLOCK - 1) | ((F.col("block") == 0) & (F.col("begin") < margin))
         some = reduce(lambda x, y: x | y, [near(F.col(f"key{j}"), F.col(f"offset{j}")) for j in range(columns)])
         met = met.filter(own).filter(F.col("free") | some)
+        # the rarest others first, so that few candidates are counted whole
+        for first in (columns + 2, window):
+            close = F.size(F.filter(F.slice("others", 1, first), lambda o: near(o["key"], o["offset"])))
+            met = met.withColumn("close", close).filter(F.col("close") >= F.least(F.lit(first), F.size("others")) - may_miss(F.col("length")))
         in_place = F.size(F.filter("others", lambda o: F.array_contains("postings", o["key"] + (F.col("begin") + o["offset"]))))
-        close = 1 + F.size(F.filter("others", lambda o: near(o["key"], o["offset"])))
-        found = met.select("phrase_id", "row", (F.col("block").cast("bigint") * BLOCK + F.col("begin") - margin).alias("start"), "length", close.alias("n_near"), (in_place == F.size("others")).alias("exact"))
-        return found.filter(F.col("n_near") * 100 >= F.col("length") * percent)
+        return met.select("phrase_id", "row", (F.col("block").cast("bigint") * BLOCK + F.col("begin") - margin).alias("start"), "length", (F.col("close") + 1).alias("n_near"), (in_place == F.size("others")).alias("exact"))
 
     return reduce(DataFrame.unionByName, [part(i) for i in range(parts)])
 
