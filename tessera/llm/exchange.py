@@ -1,10 +1,12 @@
 """Questions from blocks of documents to segments of a key space, and their answers, as packed arrays.
 
-Documents are dealt into blocks by a hash of their id, keys into segments by their leading bits. A block asks each
+Documents are dealt into blocks by a hash of id and text, so rows that repeat an id or have none spread by their texts
+(rows alike in both meet in one block, within ``BLOCK_BYTES`` times their share), keys into segments by their leading bits. A block asks each
 segment about its distinct keys in one message; the segment, which has all blocks' messages, answers each with one
 value per key, in the same order. A key that is in a third of all documents is one entry of each block's message, so no
 task gets more of it than there are blocks, and nothing is broadcast or sent to the driver. Both sides are bounded by a
-block's text and a segment's keys; the number of each grows with the input, so tasks keep their size.
+block's text and a segment's keys; the number of each grows with the input, so tasks keep their size. Only segments of
+which a block has keys get its message, so messages are never more than the blocks' distinct keys.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCK_BYTES = 8 << 20
 SEGMENT_KEYS = 2_000_000
@@ -52,16 +55,19 @@ def unpack_bits(raw: bytes, count: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8), count=count).astype(bool)
 
 
-def text_size(docs: DataFrame, each: int = 1 << 10) -> tuple[int, int]:
+def text_size(docs: DataFrame) -> tuple[int, int]:
     """Bytes of text and rows of ``docs``."""
     n, rows = docs.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     return int(n or 0), int(rows)
 
 
 def in_blocks(docs: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id (as long) and text with ``block``, a number below size / block_bytes."""
+    """doc_id (as long) and text with ``block``, a number below size / block_bytes. Ids must be integers (or null)."""
+    if not isinstance(docs.schema["doc_id"].dataType, (T.IntegralType, T.NullType)):
+        raise TypeError(f"doc_id must be an integer column, not {docs.schema['doc_id'].dataType.simpleString()}")
     n = max(1, math.ceil(size / block_bytes))
-    return docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    doc = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return doc.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).alias("block"), "doc_id", "text")
 
 
 def segments_for(keys: int, segment_keys: int = SEGMENT_KEYS) -> int:
