@@ -3,8 +3,9 @@
 Each language has a codeword of bits, far from the others'. One binary logistic classifier a bit learns it from hashed
 byte n-grams (1 to 3 bytes of the text with A-Z lower-cased and signs and digits made spaces), weighted by the square
 root of their share. Decoding is loss-weighted: the language whose codeword costs the least logistic loss over all bits
-wins; a text is ``ambiguous`` when the second costs little more. Fitted on at most about ``ROWS_PER_LABEL`` texts a
-language (a hash of the id decides), whose feature rows alone reach the driver; predictions read whole texts, in
+wins; a text is ``ambiguous`` when the second costs little more. Fitted on rows with a language of their own, at most
+about ``ROWS_PER_LABEL`` a language and ``labelled.MAX_ROWS`` in all (a hash of the id decides; every language has
+one), whose feature rows alone (8 KB each) reach the driver; predictions read whole texts, in
 pieces, with the weights (under 1 MB) broadcast.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and ambiguous; without labelled texts all
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textvec as tv
 from tessera.llm.common import fold
-from tessera.llm.labelled import labels_for_fit
+from tessera.llm.labelled import sampled
 
 DIM = 4096
 ROWS_PER_LABEL = 500
@@ -44,6 +45,15 @@ def features(texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), DIM), np.float32)
     for i, j in tv.slices(texts, 1 << 20):
         raw, at = tv.buffer(texts.slice(i, j - i))
+        if j == i + 1 and len(raw) > 2 * tv.PIECE:  # one long text, piece by piece
+            for a in range(0, len(raw), tv.PIECE):
+                x = _FOLD[raw[a : a + tv.PIECE + 2]].astype(np.uint32)
+                grams = x * np.uint32(2654435761)
+                for n in (1, 2, 3):
+                    if n > 1:
+                        grams = grams[:-1] * np.uint32(16777619) + x[n - 1 :] * np.uint32(2654435761)
+                    out[i] += np.bincount(grams[: tv.PIECE] >> np.uint32(20), minlength=DIM)
+            continue
         x = _FOLD[raw].astype(np.uint32)
         doc = np.repeat(np.arange(j - i, dtype=np.int64), np.diff(at))
         grams = x * np.uint32(2654435761)
@@ -68,6 +78,9 @@ def has_letter(texts: pa.Array) -> np.ndarray:
     out = np.zeros(len(texts), bool)
     for i, j in tv.slices(texts):
         raw, at = tv.buffer(texts.slice(i, j - i))
+        if j == i + 1:
+            out[i] = _ASCII_LETTER[raw].any()
+            continue
         total = np.concatenate([[0], np.cumsum(_ASCII_LETTER[raw], dtype=np.int64)])
         out[i:j] = total[at[1:]] > total[at[:-1]]
     for k in np.flatnonzero(~out).tolist():
@@ -109,7 +122,8 @@ class Model:
 
     def losses_of(self, rows: np.ndarray) -> np.ndarray:
         margin = rows @ self.weights + self.bias
-        return np.logaddexp(0, -margin[:, None, :] * self.code[None]).mean(axis=2)
+        one = (self.code > 0).astype(margin.dtype)
+        return (np.logaddexp(0, -margin) @ one.T + np.logaddexp(0, margin) @ (1 - one).T) / self.code.shape[1]
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language (-1: und), score, ambiguous."""
@@ -144,8 +158,8 @@ def fit_rows(rows: np.ndarray, langs: list[str]) -> Model:
 
 
 def fit(docs: DataFrame, modulus: int = MODULUS, held_out: int = HELD_OUT, rows: int = ROWS_PER_LABEL) -> Model:
-    chosen = labels_for_fit(docs.select("doc_id", "lang"), "lang", modulus, held_out, rows)
-    sample = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), "_id").filter("text is not null")
+    own = docs.select(F.col("doc_id").alias("_id"), F.col("lang").alias("y"), "text")
+    sample = sampled(own.filter(F.col("y").isNotNull() & F.col("text").isNotNull() & (fold("_id", modulus) != held_out)), rows)
 
     def run(batches):
         for b in batches:
