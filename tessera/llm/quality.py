@@ -36,9 +36,13 @@ _SIGN = ~_WORD & (np.arange(256) > 32) & (np.arange(256) != 127)
 _UPPER, _LOWER, _DIGIT = (np.array([a <= i <= b for i in range(256)]) for a, b in ((65, 90), (97, 122), (48, 57)))
 
 
-def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed n-grams of words and of shapes, and each text's first of either; one more at the end."""
-    raw, at = tv.buffer(texts)
+#: Gap, word or sign, by byte; tokens never cross a change of kind.
+_KIND = _WORD + 2 * _SIGN.astype(np.int8)
+_AGAIN = np.uint64(0x5851F42D4C957F2D)
+
+
+def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of words and of shapes, shapes before "same token again" is told, and each text's first token."""
     kinds = [tv.bounds(raw, at, ~_WORD)[:2], tv.bounds(raw, at, ~_SIGN)[:2]]
     starts, ends = (np.concatenate([k[i] for k in kinds]) for i in (0, 1))
     is_word = np.zeros(len(starts), bool)
@@ -54,7 +58,13 @@ def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     again = np.zeros(len(word), bool)
     again[1:] = word[1:] == word[:-1]
     again[first[:-1][first[:-1] < len(word)]] = False
-    shape = tv.mix(shape + np.where(again, np.uint64(0x5851F42D4C957F2D), np.uint64(0)))
+    return word, tv.mix(shape + np.where(again, _AGAIN, np.uint64(0))), shape, first
+
+
+def ngrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashed n-grams of words and of shapes, and each text's first of either; one more at the end."""
+    raw, at = tv.buffer(texts)
+    word, shape, _, first = tokens(raw, at)
     out = []
     for values in (word, shape):
         pairs = tv.runs(values, 2, 3)
@@ -86,6 +96,11 @@ class Model:
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
         for i, j in tv.slices(texts):
+            if j == i + 1:
+                raw, _ = tv.buffer(texts.slice(i, 1))
+                if len(raw) > 2 * tv.PIECE:
+                    out[i] = self._of_long(raw)
+                    continue
             word, w_first, shape, s_first = ngrams(texts.slice(i, j - i))
             for x, first in ((word, w_first), (shape, s_first)):
                 n = np.diff(first)
@@ -96,6 +111,24 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.round(out + self.bias, 6), -30, 30)))
 
 
+    def _of_long(self, raw: np.ndarray) -> float:
+        """The same sum for one long text, piece by piece; the last token of a piece goes on into the next."""
+        total, count, last = np.zeros(2), np.zeros(2, np.int64), None
+        for a, b in tv.pieces(raw, _KIND):
+            word, shape, plain, _ = tokens(raw[a:b], np.array([0, b - a]))
+            if not len(word):
+                continue
+            if last is not None and word[0] == last[0]:
+                shape[0] = tv.mix(plain[:1] + _AGAIN)[0]
+            for k, values in enumerate((word, shape)):
+                pairs = tv.runs(values if last is None else np.concatenate([[last[k]], values]), 2, 3)
+                for x in (values, pairs):
+                    total[k] += self.weights[(x >> np.uint64(64 - BITS)).astype(np.int64)].astype(np.float64).sum()
+                    count[k] += len(x)
+            last = word[-1], shape[-1]
+        return float(sum(SCALE * t / n for t, n in zip(total, count) if n))
+
+
 def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.5) -> Model:
     """FTRL-proximal: each coordinate keeps z and n; its weight follows from them when it is next needed."""
     size = (1 << BITS) + 1  # the last one is the bias
@@ -121,7 +154,7 @@ def ftrl(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
 
 
 def fit(docs: DataFrame, labels: DataFrame, column: str = "quality", modulus: int = MODULUS, held_out: int = HELD_OUT, rows: int = ROWS_PER_LABEL) -> Model:
-    sample = texts_for_fit(docs, labels, column, modulus, held_out, rows)
+    sample = texts_for_fit(docs, labels.filter(F.col(column).isin(0, 1)), column, modulus, held_out, rows)
 
     def features(batches):
         for b in batches:

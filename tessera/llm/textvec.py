@@ -91,6 +91,22 @@ def slices(texts: pa.Array, most: int = 4 << 20):
         i = j
 
 
+def pieces(raw: np.ndarray, kind: np.ndarray, size: int = PIECE):
+    """Byte ranges of about ``size`` of one text, cut only where the kind of byte changes (so no run is cut)."""
+    a, n = 0, len(raw)
+    while a < n:
+        b = a + size
+        while b < n:
+            part = kind[raw[b - 1 : b + size]]
+            change = np.flatnonzero(part[1:] != part[:-1])
+            if len(change):
+                b += int(change[0])
+                break
+            b += size
+        yield a, min(b, n)
+        a = b
+
+
 def bounds(raw: np.ndarray, at: np.ndarray, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, ends and each document's first word, for words of bytes that aren't in ``gap``."""
     inside = np.zeros(len(raw) + 2, bool)
