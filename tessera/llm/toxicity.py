@@ -41,7 +41,10 @@ PRIOR = 50
 
 def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of each word (words x 3) and each text's first word; one more at the end."""
-    raw, at = tv.buffer(texts)
+    return rows_of(*tv.buffer(texts))
+
+
+def rows_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends, first = tv.bounds(raw, at, ~_WORD)
     rows = [tv.spans(raw, starts, ends, lower=True)]
     for k, n in enumerate(PREFIXES):
@@ -88,10 +91,31 @@ class Net:
     def logits(self, texts: pa.Array) -> np.ndarray:
         out = np.zeros(len(texts))
         for i, j in tv.slices(texts, 1 << 20):
+            if j == i + 1:
+                raw, _ = tv.buffer(texts.slice(i, 1))
+                if len(raw) > 2 * tv.PIECE:
+                    out[i] = self._of_long(raw)
+                    continue
             rows, first = word_rows(texts.slice(i, j - i))
             out[i:j] = self.of_rows(rows, first)
         return out
 
+    def _of_long(self, raw: np.ndarray) -> float:
+        """One long text, piece by piece: the largest values carry over, and so do a piece's last words, at which the
+        windows that reach into the next begin."""
+        best, behind, wide = np.zeros(FILTERS * len(WIDTHS)), np.empty((0, len(BITS)), np.int32), max(WIDTHS) - 1
+        for a, b in tv.pieces(raw, _WORD):
+            rows = np.concatenate([behind, rows_of(raw[a:b], np.array([0, b - a]))[0]])
+            if len(rows) > wide:
+                # windows at the last words are cut by the piece's end: they come again, whole, with the next
+                x, at, place = _padded(rows, np.array([0, len(rows)]), self.table)
+                best = np.maximum(best, self.pooled(x, at, place[:-wide])[0])
+                rows = rows[-wide:]
+            behind = rows
+        if len(behind):
+            best = np.maximum(best, self.pooled(*_padded(behind, np.array([0, len(behind)]), self.table))[0])
+        return float(best @ self.out + self.bias)
+
     def of_rows(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
         return self.pooled(*_padded(rows, first, self.table)) @ self.out + self.bias
 
