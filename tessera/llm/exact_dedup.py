@@ -4,8 +4,8 @@ Texts are equal when identical after deleting space and \\t \\n \\v \\f \\r. Pas
 builds, per task, one filter of the digests seen and one of those seen twice; merged, the second holds every digest
 that occurs at least twice anywhere (two tasks that both saw a digest set its bits in both "seen" filters). Pass two
 asks it: rows that it doesn't hold are certainly unique and pass straight through, only the others shuffle, by exact
-SHA-256. The filter has at most ``MAX_BITS`` bits (32 MB), the only thing broadcast in proportion to the input; beyond
-that size more unique rows shuffle too, as rows of about 100 bytes without their text, and results stay the same.
+SHA-256. The filter has at most ``max_bits`` bits, the only thing broadcast in proportion to the input; beyond that size
+more unique rows shuffle too, as rows of about 100 bytes without their text, and results stay the same.
 
 Defined cases: a null text counts as empty, and all empty texts are equal. Of equal texts the row with the most code
 points stays, then the smallest doc_id (null last), then the first of repeated rows: exactly one row of each group.
@@ -27,7 +27,8 @@ from tessera.llm.common import shared
 
 HASHES = 3
 BITS_PER_ROW = 16
-MAX_BITS = 1 << 28
+#: Bits of the filter at most: 128 MB, for 67 million rows at 16 bits each; a cluster with more memory can set more.
+MAX_BITS = 1 << 30
 SEGMENT_BYTES = 1 << 17
 ROWS_PER_FILTER = 2_000_000
 #: Groups of over one in HOT of the candidate rows (so fewer than HOT of them) are joined by broadcast.
@@ -60,9 +61,9 @@ def digests(docs: DataFrame) -> DataFrame:
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
-def repeated_filter(keys: DataFrame, rows: int) -> bytes:
+def repeated_filter(keys: DataFrame, rows: int, max_bits: int = MAX_BITS) -> bytes:
     """The merged filter of digests that occur at least twice among ``rows`` rows; never misses one."""
-    bits = min(MAX_BITS, max(1 << 16, 1 << (BITS_PER_ROW * rows - 1).bit_length())) if rows else 1 << 16
+    bits = min(max_bits, max(1 << 16, 1 << (BITS_PER_ROW * rows - 1).bit_length())) if rows else 1 << 16
     size = min(SEGMENT_BYTES, bits // 8)
 
     def build(batches):
@@ -92,10 +93,10 @@ def repeated_filter(keys: DataFrame, rows: int) -> bytes:
         packed = zstandard.ZstdCompressor(level=1).compress(twice.tobytes())
         return pa.table({"segment": t.column("segment")[:1], "bits": pa.array([packed], pa.binary())})
 
-    parts = keys.select("digest").coalesce(max(1, -(-rows // ROWS_PER_FILTER), min(6, rows // 20_000)))
+    parts = keys.select("digest").coalesce(max(1, -(-rows // ROWS_PER_FILTER), min(keys.sparkSession.sparkContext.defaultParallelism, rows // 20_000)))
     merged = parts.mapInArrow(build, "segment bigint, seen binary, twice binary").groupBy("segment").applyInArrow(merge, "segment bigint, bits binary")
     out = bytearray(bits // 8)
-    for segment, packed in merged.collect():  # at most MAX_BITS / 8 bytes together
+    for segment, packed in merged.collect():  # at most max_bits / 8 bytes together
         part = zstandard.ZstdDecompressor().decompress(bytes(packed))
         out[segment * size : segment * size + len(part)] = part
     return bytes(out)
@@ -111,12 +112,12 @@ def _rank():
     return F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
 
 
-def exact_duplicates(docs: DataFrame) -> DataFrame:
+def exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, n_chars."""
     spark = docs.sparkSession
     keys = shared(digests(docs))
     rows = keys.count()
-    held = spark.sparkContext.broadcast(repeated_filter(keys, rows))
+    held = spark.sparkContext.broadcast(repeated_filter(keys, rows, max_bits))
 
     def flag(batches):
         bits = np.frombuffer(held.value, np.uint8)
@@ -134,11 +135,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return resolved.unionByName(alone).select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), "n_chars")
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
+def drop_exact_duplicates(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group of equal texts, all columns; rows that are certainly unique aren't shuffled."""
     spark, columns = docs.sparkSession, docs.columns
     keys = shared(digests(docs).drop("row"))
-    held = spark.sparkContext.broadcast(repeated_filter(keys, keys.count()))
+    held = spark.sparkContext.broadcast(repeated_filter(keys, keys.count(), max_bits))
     inner = docs.toDF(*[f"c{i}" for i in range(len(columns))])
     text = columns.index("text")
 
