@@ -7,8 +7,9 @@ pieces. A byte that is in no piece of a split is a token of its own, at a cost b
 In each batch the distinct pre-tokens form a trie. It is walked depth by depth in numpy: all nodes of one depth (bytes
 of the prefix) get their forward score and count at once, from the nodes up to the longest piece above them, so a
 prefix that many pre-tokens share is scored once. The count stored where a pre-token ends is its number of tokens, and
-a text's count is the sum over its pre-tokens. Pre-tokens of over ``LONG`` bytes, which share no prefixes worth
-storing, are scored alone by the same recurrence. Nothing shuffles; the vocabulary (a few MB at most) is broadcast.
+a text's count is the sum over its pre-tokens. Pre-tokens of over ``LONG`` bytes (text without spaces) are first cut
+wherever no piece that occurs in them crosses, which no split can tell; the distinct parts enter the trie like
+pre-tokens. A part that is still longer is scored alone by the same recurrence. Nothing shuffles; the vocabulary (a few MB at most) is broadcast.
 
 Piece scores: a vocabulary file of the byte-pair kind has ranks and no probabilities; ``zipf_scores`` gives the piece of
 rank r the log probability -log(r + 1). Vocabularies are read, never trained.
@@ -86,8 +87,17 @@ class Vocabulary:
         """Number of tokens of each pre-token (distinct, none empty)."""
         size = np.array([len(x) for x in words], np.int64)
         out = np.zeros(len(words), np.int64)
-        for k in np.flatnonzero(size > LONG).tolist():
-            out[k] = self._alone(words[k])
+        long = np.flatnonzero(size > LONG)
+        if len(long):
+            parts, owner = self._cut([words[k] for k in long.tolist()])
+            number = {part: i for i, part in enumerate(dict.fromkeys(parts))}
+            alike = list(number)
+            whole = [i for i, part in enumerate(alike) if len(part) > LONG]
+            counts = np.zeros(len(alike), np.int64)
+            counts[whole] = [self._alone(alike[i]) for i in whole]
+            short = [i for i, part in enumerate(alike) if len(part) <= LONG]
+            counts[short] = self.counts([alike[i] for i in short])
+            np.add.at(out, long[owner], counts[[number[part] for part in parts]])
         short = np.flatnonzero(size <= LONG)
         if len(short):
             order = sorted(short.tolist(), key=words.__getitem__)
@@ -96,6 +106,26 @@ class Vocabulary:
                 out[part] = self._trie([words[i] for i in part])
         return out
 
+    def _cut(self, words: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+        """The words cut wherever no piece that occurs in them crosses, and each part's word: a best split of the parts
+        is a best split of the word."""
+        parts, owner = [], []
+        for k, word in enumerate(words):
+            raw, n = np.frombuffer(word, np.uint8), len(word)
+            crossed = np.zeros(n + 1, np.int32)
+            for length in self.lengths[self.lengths <= n].tolist():
+                if length < 2:
+                    continue
+                for base in range(length, n + 1, 1 << 18):
+                    ends = np.arange(base, min(n + 1, base + (1 << 18)))
+                    hit = ends[self.find(tv.spans(raw, ends - length, ends))[0]]
+                    crossed[hit - length + 1] += 1
+                    crossed[hit] -= 1
+            at = [0, *(np.flatnonzero(np.cumsum(crossed)[1:n] == 0) + 1).tolist(), n]
+            parts += [word[a:b] for a, b in zip(at[:-1], at[1:])]
+            owner += [k] * (len(at) - 1)
+        return parts, np.array(owner)
+
     def _trie(self, words: list[bytes]) -> np.ndarray:
         """Sorted pre-tokens: those that share a prefix are neighbours, so a node is a range of them."""
         n, size = len(words), np.array([len(x) for x in words], np.int64)
