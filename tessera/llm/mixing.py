@@ -23,6 +23,7 @@ many times more buckets' rows to spread. The plan is broadcast only if counted s
 
 Defined cases: null is a source of its own; sources without a weight get none of the weighted phases and follow at
 the end, by their size; weights that aren't positive count as absent; rows that repeat take places of their own;
+rows without an id are ordered by a hash of all their columns;
 texts are not read; an empty table gives an empty result; columns named block, slot, position or phase are replaced.
 """
 
@@ -177,7 +178,9 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
     buckets = 1
     while buckets < MAX_BUCKETS and (shape.rows or 0) > buckets * BUCKET_ROWS:
         buckets *= 2
-    keyed = docs.withColumn("_order", F.xxhash64(F.lit(seed), F.col("doc_id"))).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(buckets)))
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().count("map<")]
+    hashed = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), *whole)).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id")))
+    keyed = docs.withColumn("_order", hashed).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(buckets)))
     each = keyed.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = each.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
