@@ -145,3 +145,36 @@ def test_stages_on_odd_rows(spark, sf, odd, empty):
         assert stage(spark, odd, sf).count() > 0 and stage(spark, empty, sf).count() == 0
         if name != "mixing":
             assert stage(spark, odd, sf).columns == odd.columns
+
+
+def test_slots_against_a_plain_simulation():
+    """Earliest deadline first among released blocks, looked up afresh at every slot with exact fractions."""
+    from fractions import Fraction
+
+    from tessera.llm.mixing import exact_shares, slots
+
+    for weights, blocks in (([0.9999, 0.0001], [3000, 2]), ([5.0, 3.0, 1.0, 0.5], [40, 9, 30, 7]), ([1.0] * 7 + [1e6], [3] * 7 + [900])):
+        shares = exact_shares(weights)
+        left, done, phase, want = list(blocks), [0] * len(blocks), 0, []
+        while any(left):
+            active = [i for i in range(len(blocks)) if left[i]]
+            rate = {i: Fraction(shares[i], sum(shares[k] for k in active)) for i in active}
+            took, t = dict.fromkeys(active, 0), 0
+            while True:
+                free = [i for i in active if (took[i] / rate[i]).__floor__() <= t]
+                i = min(free, key=lambda k: (((took[k] + 1) / rate[k]).__ceil__(), k))
+                if not left[i]:
+                    break
+                want.append((i, done[i], phase))
+                took[i], done[i], left[i], t = took[i] + 1, done[i] + 1, left[i] - 1, t + 1
+                assert all(abs(took[k] - rate[k] * t) < 1 for k in active)
+            phase += 1
+        assert list(slots(blocks, shares)) == want
+
+
+def test_rows_without_id_spread(make):
+    from tessera.llm.mixing import mix
+
+    docs = make([(None, f"text {i}", "en", "s", 1) for i in range(3000)])
+    got = mix(docs).collect()
+    assert sorted(r.position for r in got) == list(range(3000))
