@@ -17,10 +17,11 @@ from tessera.plans import ast as A
 from tessera.plans.lower import Lowering, Options, Relation, Scope
 from tessera.plans.parser import parse
 from tessera.sources.catalog import ROW_ID, SEQ, SPARK_TYPES, ColumnDef, Part, Table
-from tessera.sources.log import CommitLog
+from tessera.sources.log import CommitExists, CommitLog, delete
 
-#: Rows of a statement that are kept as values in the commit; more become a Parquet segment.
-INLINE_ROWS = 1000
+#: Rows of a statement that are kept as values in the commit; more become a Parquet segment. A table whose parts hold
+#: more than INLINE_TOTAL such rows together is compacted.
+INLINE_ROWS, INLINE_TOTAL = 1000, 20_000
 
 
 @dataclass
@@ -35,6 +36,7 @@ class VacuumConfig:
     enabled: bool = True
     transactions: int = 1000
     chain_length: int = 10
+    hidden_share: float = 0.1  # of a table's row versions; fewer aren't worth a rewrite
 
 
 class Session:
@@ -64,6 +66,7 @@ class Engine:
         self.indexes: dict[str, tuple[str, str]] = {}  # name: table, column key
         self.version = self.seq = self.numbers = self.since_vacuum = 0
         self.active: list[_Transaction] = []
+        self.streams: dict[str, int] = {}  # the last batch of each stream
         self.main = Session(self)
         self.log = CommitLog(spark, root) if root else None
         self.recovered = self.recover() if root else 0
@@ -103,22 +106,73 @@ class Engine:
     def recover(self) -> int:
         """Replay the log; returns the number of committed transactions found after its checkpoint."""
         state, version, commits = self.log.replay()
-        self.tables, self.indexes, self.seq = {}, {}, 0
+        self.tables, self.indexes, self.streams, self.seq = {}, {}, {}, 0
         if state:
+            self.streams = dict(state.get("streams", {}))
             self.tables = {t["name"]: Table.of(t) for t in state["tables"]}
             self.indexes, self.seq = {k: tuple(v) for k, v in state["indexes"].items()}, state["seq"]
         self.version = version
         for body in commits:
-            self.version += 1
-            for action in body["actions"]:
-                self._apply(action)
+            self._replay(body)
         self.log.truncate(self.version)
         return sum(any(a["do"] == "part" for a in b["actions"]) for b in commits)
 
+    def _replay(self, body: dict) -> None:
+        self.version += 1
+        for action in body["actions"]:
+            self._apply(action)
+
+    def refresh(self) -> int:
+        """Take over the commits that other engines have published on the same root; returns their number."""
+        before = self.version
+        if self.log and self.log.last_checkpoint() > self.version:  # the commits between are gone from the log
+            if self.active:
+                raise E.SerializationFailure("another engine has compacted the log beneath a running transaction")
+            state, version, commits = self.log.replay()
+            self.tables, self.indexes = {t["name"]: Table.of(t) for t in state["tables"]}, {k: tuple(v) for k, v in state["indexes"].items()}
+            self.streams, self.seq, self.version = dict(state.get("streams", {})), state["seq"], version
+            for body in commits:
+                self._replay(body)
+        while self.log and (body := self.log.read(self.version + 1)) is not None:
+            self._replay(body)
+        return self.version - before
+
+    def _meet(self, actions: list[dict]) -> None:
+        """Another engine was first: take its commits over, and see that these actions still hold after them."""
+        before, lost = self.version, E.SerializationFailure("another engine has published a commit that this one doesn't fit")
+        if not self.refresh():
+            raise E.SerializationFailure("another engine is writing a commit")
+        for a in actions:
+            table = self.tables.get(a.get("table"))
+            if a["do"] == "stream":
+                if self.streams.get(a["id"], -1) >= a["batch"]:
+                    raise lost
+                continue
+            if a["do"] != "part" or table is None:
+                raise lost
+            part, later = a["part"], [p for p in table.parts if p.version > before]
+            if part.kind == "insert":
+                if part.rows is None and any(p.kind == "insert" for p in later):
+                    raise lost  # its row ids are written already
+                for r in part.rows or []:
+                    r[ROW_ID], table.next_row = table.next_row, table.next_row + 1
+                a["next_row"] = max(a["next_row"], table.next_row)
+            else:
+                changed = [p for p in later if p.kind != "insert"]
+                mine = table._frame(self.spark, [part], ids_only=True)
+                if changed and not mine.join(table._frame(self.spark, changed, ids_only=True), ROW_ID, "left_semi").isEmpty():
+                    raise lost
+            part.seq = self._next_seq()
+
     def _publish(self, actions: list[dict]) -> None:
-        """One commit: in the log first, then in memory."""
-        if self.log:
-            self.log.append(self.version + 1, {"actions": [{**a, "part": a["part"].plain()} if a["do"] == "part" else a for a in actions]})
+        """One commit: in the log first, then in memory. Where another engine was first, after its commits, or
+        SerializationFailure if the two don't fit."""
+        while self.log:
+            try:
+                self.log.append(self.version + 1, {"actions": [{**a, "part": a["part"].plain()} if a["do"] == "part" else a for a in actions]})
+                break
+            except CommitExists:
+                self._meet(actions)
         self.version += 1
         for a in actions:
             self._apply(a)
@@ -144,6 +198,8 @@ class Engine:
             self.indexes[a["name"]] = (a["table"], a["key"])
         elif do == "unindex":
             del self.indexes[a["name"]]
+        elif do == "stream":
+            self.streams[a["id"]] = a["batch"]
         elif do == "part":
             part = Part(**a["part"]) if isinstance(a["part"], dict) else a["part"]
             part.version = self.version
@@ -156,7 +212,7 @@ class Engine:
             table.parts = [part] if part.count else []
 
     def _checkpoint(self) -> None:
-        self.log.checkpoint(self.version, {"tables": [t.plain() for t in self.tables.values()], "indexes": self.indexes, "seq": self.seq})
+        self.log.checkpoint(self.version, {"tables": [t.plain() for t in self.tables.values()], "indexes": self.indexes, "seq": self.seq, "streams": self.streams})
         named = {p.path for t in self.tables.values() for p in t.parts if p.path}
         for path in self.log.segments():  # of vacuumed parts and of commits that never were
             if path not in named and not self.active:
@@ -346,26 +402,31 @@ class Engine:
 
     # -- DML
     def _part(self, rows: DataFrame, kind: str, seq: int, folder: str | None) -> Part:
-        """The rows as a part: values if few, else a segment of ``folder`` or a checkpointed frame."""
-        head = rows.limit(INLINE_ROWS + 1).collect()
-        if len(head) <= INLINE_ROWS:
-            return Part(kind, seq, len(head), [r.asDict() for r in head])
-        if folder is not None:
-            path = f"{folder}/{uuid.uuid4().hex}"
+        """The rows as a part: a segment of ``folder`` or a checkpointed frame, or values if they are few. The source
+        runs once: what is counted and kept is what was written."""
+        path = f"{folder}/{uuid.uuid4().hex}" if folder is not None else None
+        if path:
             rows.write.parquet(path)
-            return Part(kind, seq, self.spark.read.parquet(path).count(), path=path)
-        frame = cut_lineage(rows)
-        return Part(kind, seq, frame.count(), frame=frame)
+            frame = self.spark.read.schema(rows.schema).parquet(path)
+        else:
+            frame = cut_lineage(rows)
+        count = frame.count()
+        if count > INLINE_ROWS:
+            return Part(kind, seq, count, path=path) if path else Part(kind, seq, count, frame=frame)
+        held = [r.asDict() for r in frame.collect()]
+        if path:
+            delete(self.spark, path)
+        return Part(kind, seq, count, held)
 
     def _folder(self, table: Table) -> str | None:
         return f"{self.log.root}/{table.name}" if self.log else None
 
-    def _write(self, session: Session, table: Table, part: Part) -> None:
-        """Into the running transaction, or as a commit of its own."""
+    def _write(self, session: Session, table: Table, part: Part, more: tuple[dict, ...] = ()) -> None:
+        """Into the running transaction, or as a commit of its own (with ``more`` actions)."""
         if session.stack:
             session.stack[-1].parts.setdefault(table.name, []).append(part)
             return
-        self._publish([{"do": "part", "table": table.name, "part": part, "next_row": table.next_row}])
+        self._publish([{"do": "part", "table": table.name, "part": part, "next_row": table.next_row}, *more])
         self._after_commit(table)
 
     def _next_seq(self) -> int:
@@ -390,10 +451,16 @@ class Engine:
         self._write(session, table, Part("insert", self._next_seq(), 1, [row]))
         return self._one(row_id=row[ROW_ID])
 
-    def insert_df(self, name: str, df: DataFrame, session: Session | None = None) -> int:
+    def insert_df(self, name: str, df: DataFrame, session: Session | None = None, batch: tuple[str, int] | None = None) -> int:
         """Append the rows of ``df``, matched by column name; returns their number. One pass, no global sort: row ids
-        are unique, ascending in a partition, and not consecutive."""
+        are unique, ascending in a partition, and not consecutive. ``batch``: a stream's name and the number of its
+        batch, which the same commit records; a batch that is recorded already is left out."""
         table, session = self._need(name), session or self.main
+        if batch:
+            if session.stack:
+                raise E.UnsupportedFeature("a stream's batch is a commit of its own")
+            if self.streams.get(batch[0], -1) >= batch[1]:
+                return 0
         unknown = [c for c in df.columns if not table.column(c)]
         if unknown:
             raise E.ColumnNotFound(f"no column '{unknown[0]}' in '{name}'{E.did_you_mean(unknown[0], [c.name for c in table.columns])}")
@@ -412,7 +479,7 @@ class Engine:
         elif part.count:
             stored = part.frame if part.frame is not None else self.spark.read.parquet(part.path)
             table.next_row = stored.agg(F.max(ROW_ID)).first()[0] + 1
-        self._write(session, table, part)
+        self._write(session, table, part, ({"do": "stream", "id": batch[0], "batch": batch[1]},) if batch else ())
         return part.count
 
     def _update(self, session: Session, s: A.Update) -> DataFrame:
@@ -493,7 +560,11 @@ class Engine:
         c = self.vacuum_config
         if not c.enabled or self.active:
             return
-        if self.since_vacuum >= c.transactions or sum(p.kind == "update" for p in table.parts) > c.chain_length:
+        hidden = sum(p.count for p in table.parts if p.kind != "insert")
+        stored = sum(p.count for p in table.parts if p.kind != "delete")
+        chained = sum(p.kind == "update" for p in table.parts) > c.chain_length and hidden >= c.hidden_share * stored
+        inline = sum(p.count for p in table.parts if p.rows is not None) > INLINE_TOTAL
+        if self.since_vacuum >= c.transactions or chained or inline:
             for t in list(self.tables.values()) if self.since_vacuum >= c.transactions else [table]:
                 self._compact(t)
 

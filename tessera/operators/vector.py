@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import errors as E
@@ -160,7 +160,13 @@ class VectorSet:
         return VectorSet(self.nodes.filter(~F.col(self.id).isin(*ids)), self.id, self.vector)
 
     def get(self, node) -> DataFrame:
-        return self.nodes.filter(F.col(self.id) == node)
+        """The rows of an id, or of a list of ids."""
+        return self.nodes.filter(F.col(self.id).isin(*node) if isinstance(node, (list, tuple, set)) else F.col(self.id) == node)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, id_column: str = "id", vector_column: str = "vector") -> VectorSet:
+        """The vectors that ``save`` has written."""
+        return VectorSet(spark.read.parquet(path), id_column, vector_column)
 
     def save(self, path: str) -> None:
         self.nodes.write.mode("overwrite").parquet(path)

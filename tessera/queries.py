@@ -3,15 +3,19 @@ same in DuckDB's SQL."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.engine import Engine
+from tessera.errors import SerializationFailure
 from tessera.functions.distance import cosine_distance
+from tessera.functions.lineage import shared_folder
 from tessera.operators.graph import PropertyGraph
-from tessera.operators.vector import distances_to, knn, knn_batch
+from tessera.operators.vector import VectorSet, distances_to, knn, knn_batch
+from tessera.sources.catalog import ROW_ID
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -414,3 +418,154 @@ def index_query(spark, sf_dir):
     e = _managed(spark, sf_dir)
     e.execute("CREATE INDEX by_nation ON cust (nation)")
     return e.index_query("by_nation", 5).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- transactions, persistence and definitions
+def _rooted(spark: SparkSession, sf_dir: str) -> Engine:
+    """The customers in a managed table with a log, in the folder that all executors share."""
+    engine = Engine(spark, root=f"{shared_folder(spark)}/db-{uuid.uuid4().hex}")
+    engine.execute("CREATE TABLE cust (key int, name text, nation int, balance float)")
+    engine.insert_df("cust", spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance")))
+    return engine
+
+
+_ALL = "SELECT key, name, nation, balance FROM cust"
+_CHANGED = f"SELECT key, CASE WHEN nation = 2 THEN 'two' ELSE name END AS name, nation, balance FROM ({_CUST}) WHERE nation != 6"
+_CHANGES = ("UPDATE cust SET name = 'two' WHERE nation = 2", "DELETE FROM cust WHERE nation = 6")
+
+
+@_query(_CHANGED)
+def commit_visible(spark, sf_dir):
+    e = _managed(spark, sf_dir)
+    for s in ("BEGIN", *_CHANGES, "COMMIT"):
+        e.execute(s)
+    return e.execute(_ALL)
+
+
+@_query(_CHANGED)
+def own_changes_visible(spark, sf_dir):
+    """Inside its transaction a session sees what it has changed."""
+    e = _managed(spark, sf_dir)
+    for s in ("BEGIN", *_CHANGES):
+        e.execute(s)
+    return e.execute(_ALL)
+
+
+@_query(_CUST)
+def snapshot_read(spark, sf_dir):
+    """A transaction that began before another session's commits reads the state of its beginning."""
+    e = _managed(spark, sf_dir)
+    reader, writer = e.session(), e.session()
+    reader.execute("BEGIN")
+    for s in _CHANGES:
+        writer.execute(s)
+    return reader.execute(_ALL)
+
+
+@_query(f"SELECT * FROM ({_CHANGED}) UNION ALL SELECT 0, 'lost', 1, 0.0")
+def first_writer_wins(spark, sf_dir):
+    """The second of two transactions that change one row fails, the first commits."""
+    e = _managed(spark, sf_dir)
+    first, second = e.session(), e.session()
+    for s in (first, second):
+        s.execute("BEGIN")
+    for s in _CHANGES:
+        first.execute(s)
+    lost = 0
+    try:
+        second.execute("UPDATE cust SET name = 'mine' WHERE nation = 2")
+    except SerializationFailure:
+        lost = 1
+    second.execute("ROLLBACK")
+    first.execute("COMMIT")
+    e.execute(f"INSERT INTO cust VALUES (0, 'lost', {lost}, 0.0)")
+    return e.execute(_ALL)
+
+
+@_query(_CHANGED)
+def recovered_log(spark, sf_dir):
+    """A new engine on the root of one that was never closed."""
+    e = _rooted(spark, sf_dir)
+    for s in ("BEGIN", *_CHANGES, "COMMIT", "BEGIN", "DELETE FROM cust WHERE key > 3"):
+        e.execute(s)
+    return Engine(spark, root=e.log.root).execute(_ALL)
+
+
+@_query(_CHANGED)
+def saved_and_loaded(spark, sf_dir):
+    e = _managed(spark, sf_dir)
+    for s in _CHANGES:
+        e.execute(s)
+    path = f"{shared_folder(spark)}/saved-{uuid.uuid4().hex}"
+    e.save(path)
+    return Engine.load(spark, path).execute(_ALL)
+
+
+@_query(f"SELECT * FROM ({_CHANGED}) UNION ALL SELECT 888888, 'b', 1, 2.0")
+def two_engines(spark, sf_dir):
+    """Two engines on one root: the second takes over what the first has published before its own commit."""
+    a = _rooted(spark, sf_dir)
+    b = Engine(spark, root=a.log.root)
+    for s in _CHANGES:
+        a.execute(s)
+    b.execute("INSERT INTO cust VALUES (888888, 'b', 1, 2.0)")
+    a.refresh()
+    return a.execute(_ALL)
+
+
+@_query("SELECT 'cust' AS name, 1 AS dropped, 0 AS indexes")
+def drop_table_and_index(spark, sf_dir):
+    e = _managed(spark, sf_dir)
+    for s in ("CREATE INDEX by_nation ON cust (nation)", "CREATE INDEX by_key ON cust (key)", "DROP INDEX by_key", "DROP TABLE cust"):
+        e.execute(s)
+    return spark.createDataFrame([("cust", int("cust" not in e.tables), len(e.indexes))], "name string, dropped int, indexes int")
+
+
+@_query(f"SELECT 'update' AS what, count(*) AS n FROM ({_CUST}) WHERE nation = 2 UNION ALL SELECT 'delete', count(*) FROM ({_CUST}) WHERE nation = 6")
+def change_counts(spark, sf_dir):
+    e = _managed(spark, sf_dir)
+    return spark.createDataFrame([(w, e.execute(s).first()[0]) for w, s in zip(("update", "delete"), _CHANGES)], "what string, n bigint")
+
+
+@_query(f"SELECT count(*) AS n, min(balance) AS low, max(balance) AS high FROM ({_CUST}) WHERE balance >= 100 AND balance <= 5000")
+def index_range_query(spark, sf_dir):
+    e = _managed(spark, sf_dir)
+    e.execute("CREATE INDEX by_balance ON cust (balance)")
+    ids = e.index_range("by_balance", 100.0, 5000.0)
+    return e.table("cust").join(ids, ROW_ID, "left_semi").agg(F.count(F.lit(1)).alias("n"), F.min("balance").alias("low"), F.max("balance").alias("high"))
+
+
+_sql("filter_and_or_rows", "part", "SELECT p_partkey FROM part WHERE (p_size < 10 OR p_size > 40) AND p_retailprice > 0.0")
+_sql("truthy_column", "part", "SELECT p_partkey FROM part WHERE p_size", "SELECT p_partkey FROM part WHERE p_size <> 0")
+_sql("compare_int_float", "part", "SELECT p_partkey FROM part WHERE p_size > 7.5 AND p_size < 20.5")
+
+
+# -- writes to graphs and vector sets
+@_query(f"WITH {_EDGES} SELECT * FROM edges WHERE NOT (src = 7 AND edge_type = 'lives') UNION ALL SELECT 1, 2, 'knows', 0.25::float UNION ALL SELECT 8, 1000000001, 'likes', 1.0::float")
+def graph_edges_changed(spark, sf_dir):
+    g = _graph(spark, sf_dir)
+    lives = g.edges.filter("src = 7 and edge_type = 'lives'").first()
+    g = g.add_edge(1, 2, "knows", 0.75).add_edge(1, 2, "knows", 0.25).add_edge(8, 1_000_000_001, "likes", 1.0)
+    return (g.remove_edge(7, lives["dst"], "lives") if lives else g).edges
+
+
+@_query("SELECT c_custkey AS id, CASE WHEN c_custkey = 5 THEN 'vip' ELSE 'customer' END AS node_type, CASE WHEN c_custkey = 5 THEN 'crm/5' END AS content_ref FROM customer WHERE c_custkey != 9 UNION ALL SELECT 777777777, 'guest', 'doc/1'")
+def graph_nodes_changed(spark, sf_dir):
+    g = _graph(spark, sf_dir).insert([{"id": 777_777_777, "vector": [0.5], "node_type": "guest", "content_ref": "doc/1", "attributes": {"age": 3}}])
+    g = g.update_metadata(5, node_type="vip", content_ref="crm/5").remove_node(9)
+    return g.nodes.filter("id < 1000000000").select("id", "node_type", "content_ref")
+
+
+@_query("SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (1, 4) UNION ALL SELECT 900000001")
+def vector_insert_remove(spark, sf_dir):
+    v = VectorSet(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")))
+    new = spark.createDataFrame([(900_000_001, [1.0] * 3)], "id bigint, vector array<float>")
+    return v.insert(new).remove(1, 4).nodes.select("id")
+
+
+@_query("SELECT vec_id AS id FROM embeddings WHERE vec_id < 10")
+def vector_set_loaded(spark, sf_dir):
+    path = f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    VectorSet(_vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))).save(path)
+    held = VectorSet.load(spark, path)
+    return held.get(list(range(10))).select("id")

@@ -165,3 +165,84 @@ def test_similarity_filters_first(spark):
     assert rows(e, "SELECT id FROM v WHERE tag = 'y' ORDER BY SIMILARITY TO 'q' LIMIT 2") == [(2,)]
     e.options.similar_threshold = 0.01
     assert rows(e, "SELECT id FROM v WHERE a SIMILAR TO 'q'") == [(1,)]
+
+
+def test_two_engines_on_one_root(spark, tmp_path):
+    """The loser of a race takes the winner's commits over; what doesn't fit is a SerializationFailure."""
+    root = str(tmp_path / "db")
+    a = Engine(spark, root)
+    a.execute("CREATE TABLE t (id int, v int)")
+    for i in range(3):
+        a.execute(f"INSERT INTO t VALUES ({i}, 0)")
+    b = Engine(spark, root)
+    a.execute("INSERT INTO t VALUES (10, 1)")
+    b.execute("INSERT INTO t VALUES (11, 2)")  # same version and row id at first, both moved on
+    a.execute("UPDATE t SET v = 5 WHERE id = 0")
+    assert rows(a, "SELECT id, v FROM t ORDER BY id") == [(0, 5), (1, 0), (2, 0), (10, 1), (11, 2)]
+    with pytest.raises(E.SerializationFailure):
+        b.execute("UPDATE t SET v = 6 WHERE id = 0")  # changed since b read the log
+    b.refresh()
+    b.execute("UPDATE t SET v = 6 WHERE id = 0")
+    b.execute("UPDATE t SET v = 7 WHERE id = 1")
+    a.execute("UPDATE t SET v = 8 WHERE id = 2")  # another row: it fits
+    want = [(0, 6), (1, 7), (2, 8), (10, 1), (11, 2)]
+    assert rows(a, "SELECT id, v FROM t ORDER BY id") == rows(Engine(spark, root), "SELECT id, v FROM t ORDER BY id") == want
+    a.execute("VACUUM t")
+    a.execute("INSERT INTO t VALUES (12, 3)")
+    assert b.refresh() > 0 and rows(b, "SELECT id, v FROM t ORDER BY id") == [*want, (12, 3)]
+    b.execute("ALTER TABLE t ADD COLUMN w int")
+    with pytest.raises(E.SerializationFailure):
+        a.execute("ALTER TABLE t ADD COLUMN x int")
+
+
+def test_few_updates_do_not_rewrite_a_large_table(spark):
+    e = Engine(spark)
+    e.execute("CREATE TABLE t (id int)")
+    e.insert_df("t", spark.range(2000).toDF("id"))
+    for i in range(13):
+        e.execute(f"UPDATE t SET id = {i} WHERE id = {i}")
+    assert len(e.tables["t"].parts) == 14
+    e.execute("UPDATE t SET id = 0 WHERE id < 400")  # a fifth of the rows
+    assert len(e.tables["t"].parts) == 1 and e.execute("SELECT COUNT(*) FROM t").first()[0] == 2000
+
+
+def test_many_inline_rows_become_a_part(spark, monkeypatch):
+    from tessera import engine
+
+    monkeypatch.setattr(engine, "INLINE_TOTAL", 30)
+    monkeypatch.setattr(engine, "INLINE_ROWS", 20)
+    e = Engine(spark)
+    e.execute("CREATE TABLE t (id int)")
+    for k in range(4):
+        e.insert_df("t", spark.range(10 * k, 10 * k + 10).toDF("id"))
+    assert sum(p.count for p in e.tables["t"].parts if p.rows is not None) <= 30
+    assert sorted(r[0] for r in rows(e, "SELECT id FROM t")) == list(range(40))
+
+
+def test_a_source_runs_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for root in (None, str(tmp_path / "db")):
+        e, seen = Engine(spark, root), spark.sparkContext.accumulator(0)
+        e.execute("CREATE TABLE t (id int)")
+        count = F.udf(lambda x: (seen.add(1), x)[1], "bigint").asNondeterministic()
+        assert e.insert_df("t", spark.range(1500).select(count("id").alias("id"))) == 1500 and seen.value == 1500
+
+
+def test_shared_folder_is_needed_on_a_cluster():
+    from tessera.functions.lineage import shared_folder
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Spark:
+        sparkContext = Context()
+
+    with pytest.raises(RuntimeError):
+        shared_folder(Spark())
