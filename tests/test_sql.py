@@ -6,13 +6,14 @@ from tessera.engine import Engine
 
 @pytest.fixture
 def db(spark):
+    """Five peaks, one of unknown height and one that nobody climbs, and six climbs."""
     e = Engine(spark)
-    for s in (
-        "CREATE TABLE users (id int, name text, age int)", "CREATE TABLE orders (id int, user_id int, total float)",
-        "INSERT INTO users VALUES (1, 'Alice', 25)", "INSERT INTO users VALUES (2, 'Bob', NULL)", "INSERT INTO users VALUES (3, 'Charlie', 35)",
-        "INSERT INTO orders VALUES (1, 1, 100.0)", "INSERT INTO orders VALUES (2, 1, 200.0)", "INSERT INTO orders VALUES (3, 2, 50.0)",
-    ):
-        e.execute(s)
+    e.execute("CREATE TABLE peaks (id int, title text, height int)")
+    e.execute("CREATE TABLE climbs (id int, peak int, hours float)")
+    for row in ("11, 'Arber', 1456", "12, 'Brocken', 1141", "13, 'Cervino', 4478", "14, 'Dent', NULL", "15, 'Eiger', 3967"):
+        e.execute(f"INSERT INTO peaks VALUES ({row})")
+    for row in ("1, 11, 3.5", "2, 13, 9.0", "3, 13, 11.0", "4, 15, 8.5", "5, 15, 10.5", "6, 14, 2.0"):
+        e.execute(f"INSERT INTO climbs VALUES ({row})")
     return e
 
 
@@ -21,70 +22,71 @@ def rows(e, sql):
 
 
 def test_joins(db):
-    assert len(rows(db, "SELECT * FROM users INNER JOIN orders ON users.id = orders.user_id")) == 3
-    assert db.execute("SELECT * FROM users u JOIN orders o ON u.id = o.user_id").columns == ["u.id", "u.name", "u.age", "o.id", "o.user_id", "o.total"]
-    left = rows(db, "SELECT u.name, o.total FROM users u LEFT JOIN orders o ON u.id = o.user_id ORDER BY u.name, o.total")
-    assert left == [("Alice", 100.0), ("Alice", 200.0), ("Bob", 50.0), ("Charlie", None)]
-    assert len(rows(db, "SELECT o.id FROM users u RIGHT OUTER JOIN orders o ON o.user_id = u.id")) == 3
+    both = db.execute("SELECT * FROM climbs c JOIN peaks p ON p.id = c.peak")
+    assert both.columns == ["c.id", "c.peak", "c.hours", "p.id", "p.title", "p.height"] and both.count() == 6
+    every = "SELECT p.title, c.hours FROM peaks p LEFT JOIN climbs c ON c.peak = p.id ORDER BY p.title, c.hours"
+    assert rows(db, every) == [("Arber", 3.5), ("Brocken", None), ("Cervino", 9.0), ("Cervino", 11.0), ("Dent", 2.0), ("Eiger", 8.5), ("Eiger", 10.5)]
+    assert len(rows(db, "SELECT p.id FROM climbs c RIGHT OUTER JOIN peaks p ON c.peak = p.id")) == 7
+    assert len(rows(db, "SELECT climbs.id FROM peaks INNER JOIN climbs ON peaks.id = climbs.peak")) == 6
 
 
 def test_null_keys_never_match(db):
-    db.execute("INSERT INTO orders VALUES (4, NULL, 1.0)")
-    db.execute("INSERT INTO users VALUES (NULL, 'Nobody', 1)")
-    assert len(rows(db, "SELECT o.id FROM users u JOIN orders o ON u.id = o.user_id")) == 3
-    assert rows(db, "SELECT name FROM users WHERE id NOT IN (SELECT user_id FROM orders) ORDER BY name") == [("Charlie",), ("Nobody",)]
+    db.execute("INSERT INTO climbs VALUES (7, NULL, 1.0)")
+    db.execute("INSERT INTO peaks VALUES (NULL, 'Nameless', 1)")
+    assert len(rows(db, "SELECT c.id FROM peaks p JOIN climbs c ON c.peak = p.id")) == 6
+    assert rows(db, "SELECT title FROM peaks WHERE id NOT IN (SELECT peak FROM climbs) ORDER BY title") == [("Brocken",), ("Nameless",)]
 
 
 def test_grouping(db):
-    got = db.execute("SELECT SUM(total), user_id, COUNT(*) FROM orders GROUP BY user_id HAVING COUNT(*) > 1")
-    assert got.columns == ["user_id", "SUM(total)", "COUNT(*)"]
-    assert [tuple(r) for r in got.collect()] == [(1, 300.0, 2)]
-    assert rows(db, "SELECT COUNT(*), SUM(total), AVG(total), MIN(id) FROM orders WHERE id > 99") == [(0, 0.0, None, None)]
-    assert rows(db, "SELECT COUNT(age) FROM users") == [(2,)]
-    assert rows(db, "SELECT COUNT(*) FROM users LIMIT 0") == []
+    often = db.execute("SELECT SUM(hours), peak, COUNT(*) FROM climbs GROUP BY peak HAVING COUNT(*) > 1")
+    assert often.columns == ["peak", "SUM(hours)", "COUNT(*)"]
+    assert sorted(tuple(r) for r in often.collect()) == [(13, 20.0, 2), (15, 19.0, 2)]
+    assert rows(db, "SELECT MIN(hours), COUNT(*), AVG(hours), SUM(hours) FROM climbs WHERE hours > 24.0") == [(None, 0, None, 0.0)]
+    assert rows(db, "SELECT COUNT(height), COUNT(*) FROM peaks") == [(4, 5)]
+    assert rows(db, "SELECT MAX(height) FROM peaks LIMIT 0") == []
 
 
 def test_subqueries(db):
-    assert rows(db, "SELECT name FROM users WHERE id IN (SELECT user_id FROM orders) ORDER BY name") == [("Alice",), ("Bob",)]
-    assert rows(db, "SELECT name FROM users WHERE NOT (id IN (SELECT user_id FROM orders))") == [("Charlie",)]
-    assert rows(db, "SELECT name FROM users WHERE age > (SELECT AVG(age) FROM users)") == [("Charlie",)]
-    assert rows(db, "SELECT name FROM users WHERE age > (SELECT MAX(age) FROM users WHERE id > 9)") == []
-    assert len(rows(db, "SELECT id FROM users WHERE EXISTS (SELECT 1 FROM orders WHERE total > 150.0)")) == 3
-    assert rows(db, "SELECT user_id, AVG(total) FROM orders GROUP BY user_id HAVING AVG(total) > (SELECT AVG(total) FROM orders)") == [(1, 150.0)]
+    assert rows(db, "SELECT title FROM peaks WHERE id IN (SELECT peak FROM climbs WHERE hours < 9.0) ORDER BY title") == [("Arber",), ("Dent",), ("Eiger",)]
+    assert rows(db, "SELECT title FROM peaks WHERE NOT (id IN (SELECT peak FROM climbs))") == [("Brocken",)]
+    assert rows(db, "SELECT title FROM peaks WHERE height > (SELECT AVG(height) FROM peaks) ORDER BY height") == [("Eiger",), ("Cervino",)]
+    assert rows(db, "SELECT title FROM peaks WHERE height > (SELECT MIN(height) FROM peaks WHERE id > 99)") == []
+    assert len(rows(db, "SELECT title FROM peaks WHERE EXISTS (SELECT 1 FROM climbs WHERE hours > 10.9)")) == 5
+    slow = rows(db, "SELECT peak, AVG(hours) FROM climbs GROUP BY peak HAVING AVG(hours) > (SELECT AVG(hours) FROM climbs)")
+    assert sorted(slow) == [(13, 10.0), (15, 9.5)]
     with pytest.raises(E.InvalidSubquery):
-        db.execute("SELECT name FROM users WHERE id IN (SELECT id, total FROM orders)")
+        db.execute("SELECT title FROM peaks WHERE id IN (SELECT peak, hours FROM climbs)")
     with pytest.raises(Exception, match="SCALAR_SUBQUERY_TOO_MANY_ROWS"):
-        db.execute("SELECT name FROM users WHERE id = (SELECT user_id FROM orders)").collect()
+        db.execute("SELECT title FROM peaks WHERE id = (SELECT peak FROM climbs)").collect()
 
 
 def test_order_and_paging(db):
-    assert rows(db, "SELECT name FROM users ORDER BY age") == [("Bob",), ("Alice",), ("Charlie",)]
-    assert rows(db, "SELECT name FROM users ORDER BY age DESC, name LIMIT 1 OFFSET 1") == [("Alice",)]
-    assert rows(db, "SELECT id FROM users ORDER BY id OFFSET 20") == []
-    assert sorted(rows(db, "SELECT id FROM users ORDER BY VIBES")) == [(1,), (2,), (3,)]
+    assert [t for t, in rows(db, "SELECT title FROM peaks ORDER BY height")] == ["Dent", "Brocken", "Arber", "Eiger", "Cervino"]
+    assert rows(db, "SELECT title FROM peaks ORDER BY height DESC, title LIMIT 2 OFFSET 1") == [("Eiger",), ("Arber",)]
+    assert rows(db, "SELECT title FROM peaks ORDER BY title OFFSET 5") == []
+    assert sorted(rows(db, "SELECT id FROM climbs ORDER BY VIBES")) == [(k,) for k in range(1, 7)]
 
 
 def test_like(db):
-    assert rows(db, "SELECT name FROM users WHERE name LIKE '_li%'") == [("Alice",)]
-    db.execute(r"INSERT INTO users VALUES (4, 'a\b%', 1)")
-    assert rows(db, r"SELECT id FROM users WHERE name LIKE 'a\b%'") == [(4,)]
-    assert rows(db, "SELECT id FROM users WHERE name LIKE ''") == []
-    db.execute("INSERT INTO users VALUES (5, 'O''Neil', 1)")
-    assert rows(db, "SELECT id FROM users WHERE name = \"O'Neil\"") == [(5,)]
+    assert rows(db, "SELECT title FROM peaks WHERE title LIKE '_i%'") == [("Eiger",)]
+    db.execute(r"INSERT INTO peaks VALUES (16, 'up\down%', 1)")
+    assert rows(db, r"SELECT id FROM peaks WHERE title LIKE 'up\down%'") == [(16,)]
+    assert rows(db, "SELECT id FROM peaks WHERE title LIKE ''") == []
+    db.execute("INSERT INTO peaks VALUES (17, 'Devil''s', 1)")
+    assert rows(db, "SELECT id FROM peaks WHERE title = \"Devil's\"") == [(17,)]
 
 
 def test_two_valued_nulls(spark, db):
-    assert rows(db, "SELECT id FROM users WHERE age != 25") == [(3,)]
-    assert rows(db, "SELECT id FROM users WHERE NOT age = 25") == [(3,)]
+    other, negated = ("SELECT id FROM peaks WHERE height != 1456", "SELECT id FROM peaks WHERE NOT height = 1456")
+    assert sorted(rows(db, other)) == sorted(rows(db, negated)) == [(12,), (13,), (15,)]
     db.options.null_semantics = "two_valued"
-    assert sorted(rows(db, "SELECT id FROM users WHERE age != 25")) == [(2,), (3,)]
-    assert sorted(rows(db, "SELECT id FROM users WHERE NOT age = 25")) == [(2,), (3,)]
-    assert rows(db, "SELECT id FROM users WHERE age = NULL") == [(2,)]
+    assert sorted(rows(db, other)) == sorted(rows(db, negated)) == [(12,), (13,), (14,), (15,)]
+    assert rows(db, "SELECT id FROM peaks WHERE height = NULL") == [(14,)]
 
 
 def test_truthiness(db):
-    assert sorted(rows(db, "SELECT id FROM users WHERE age")) == [(1,), (3,)]
-    assert sorted(rows(db, "SELECT id FROM users WHERE name")) == [(1,), (2,), (3,)]
+    assert sorted(rows(db, "SELECT id FROM peaks WHERE height")) == [(11,), (12,), (13,), (15,)]
+    assert len(rows(db, "SELECT id FROM peaks WHERE title")) == 5
 
 
 @pytest.mark.parametrize("sql", [
@@ -98,13 +100,13 @@ def test_what_is_not_understood_raises(spark, sql):
 
 
 @pytest.mark.parametrize("sql, error", [
-    ("SELECT nam FROM users", E.ColumnNotFound), ("SELECT id FROM user", E.TableNotFound), ("SELECT id FROM users u JOIN orders o ON u.id = o.user_id", E.AmbiguousColumn),
-    ("SELECT x.id FROM users u", E.ColumnNotFound), ("SELECT name, COUNT(*) FROM users", E.MixedAggregateAndRegular), ("SELECT name, COUNT(*) FROM users GROUP BY age", E.ColumnNotInGroupBy),
-    ("SELECT * FROM users GROUP BY age", E.CannotUseStarWithGroupBy), ("SELECT name FROM users HAVING age > 1", E.HavingWithoutGroupBy), ("SELECT name FROM users WHERE COUNT(*) > 1", E.AggregateInWhere),
-    ("SELECT SUM(name) FROM users", E.TypeMismatch), ("SELECT id FROM users WHERE name = 1", E.TypeMismatch), ("SELECT id FROM users WHERE name SIMILAR TO 'x'", E.UnsupportedFeature),
-    ("SELECT id FROM users ORDER BY SIMILARITY TO 'x'", E.InvalidSyntax), ("SELECT u.id FROM users u JOIN orders o ON u.id = o.user_id ORDER BY SIMILARITY TO 'x'", E.UnsupportedFeature),
-    ("CREATE TABLE users (a int)", E.TableAlreadyExists), ("DROP TABLE nope", E.TableNotFound), ("ALTER TABLE users ADD COLUMN age int", E.InvalidSyntax), ("ALTER TABLE users DROP COLUMN zip", E.ColumnNotFound),
-    ("DROP INDEX nope", E.IndexNotFound), ("INSERT INTO users VALUES (1, 'x')", E.ValidationFailed), ("INSERT INTO users VALUES ('x', 'x', 1)", E.TypeMismatch), ("UPDATE users SET agee = 1", E.ColumnNotFound),
+    ("SELECT titel FROM peaks", E.ColumnNotFound), ("SELECT id FROM peak", E.TableNotFound), ("SELECT id FROM climbs c JOIN peaks p ON p.id = c.peak", E.AmbiguousColumn),
+    ("SELECT q.id FROM peaks p", E.ColumnNotFound), ("SELECT title, COUNT(*) FROM peaks", E.MixedAggregateAndRegular), ("SELECT title, COUNT(*) FROM peaks GROUP BY height", E.ColumnNotInGroupBy),
+    ("SELECT * FROM peaks GROUP BY title", E.CannotUseStarWithGroupBy), ("SELECT title FROM peaks HAVING height > 1", E.HavingWithoutGroupBy), ("SELECT title FROM peaks WHERE MAX(height) > 1", E.AggregateInWhere),
+    ("SELECT AVG(title) FROM peaks", E.TypeMismatch), ("SELECT id FROM peaks WHERE title = 3", E.TypeMismatch), ("SELECT id FROM peaks WHERE title SIMILAR TO 'x'", E.UnsupportedFeature),
+    ("SELECT id FROM peaks ORDER BY SIMILARITY TO 'x'", E.InvalidSyntax), ("SELECT p.id FROM peaks p JOIN climbs c ON p.id = c.peak ORDER BY SIMILARITY TO 'x'", E.UnsupportedFeature),
+    ("CREATE TABLE climbs (a int)", E.TableAlreadyExists), ("DROP TABLE valleys", E.TableNotFound), ("ALTER TABLE peaks ADD COLUMN height int", E.InvalidSyntax), ("ALTER TABLE peaks DROP COLUMN snow", E.ColumnNotFound),
+    ("DROP INDEX nothing", E.IndexNotFound), ("INSERT INTO peaks VALUES (1, 'x')", E.ValidationFailed), ("INSERT INTO peaks VALUES ('x', 'x', 1)", E.TypeMismatch), ("UPDATE peaks SET heigth = 1", E.ColumnNotFound),
     ("COMMIT", E.NoActiveTransaction), ("ROLLBACK", E.NoActiveTransaction),
 ])
 def test_named_errors(db, sql, error):
@@ -113,17 +115,17 @@ def test_named_errors(db, sql, error):
 
 
 def test_hint(db):
-    with pytest.raises(E.ColumnNotFound, match="did you mean 'name'"):
-        db.execute("SELECT nmae FROM users")
+    with pytest.raises(E.ColumnNotFound, match="did you mean 'height'"):
+        db.execute("SELECT heihgt FROM peaks")
 
 
 def test_validation_modes(spark, db):
     db.validation = "warnings"
     with pytest.warns(UserWarning, match="ColumnNotFound"):
-        db.execute("INSERT INTO users (id, nope) VALUES (8, 1)")
+        db.execute("INSERT INTO peaks (id, snow) VALUES (20, 1)")
     db.validation = "disabled"
-    db.execute("INSERT INTO users (id, nope) VALUES (9, 1)")
-    assert rows(db, "SELECT COUNT(*) FROM users") == [(5,)]
+    db.execute("INSERT INTO peaks (id, snow) VALUES (21, 1)")
+    assert rows(db, "SELECT COUNT(*) FROM peaks") == [(7,)]
 
 
 def test_pushdown_and_pruning(spark):
