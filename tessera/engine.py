@@ -468,7 +468,7 @@ class Engine:
         for c in table.columns:
             value = F.col(f"`{c.name}`").cast(SPARK_TYPES[c.kind]) if c.name in df.columns else F.lit(None).cast(SPARK_TYPES[c.kind])
             if c.kind == "embedding" and c.name in df.columns:
-                value = F.when(value.isNull() | (F.size(value) == c.dim), value).otherwise(F.raise_error(F.lit(f"'{c.name}' has {c.dim} dimensions")).cast(SPARK_TYPES[c.kind]))
+                value = F.when(value.isNull() | ((F.size(value) == c.dim) & ~F.exists(value, lambda x: x.isNull())), value).otherwise(F.raise_error(F.lit(f"'{c.name}' has {c.dim} dimensions, none of them null")).cast(SPARK_TYPES[c.kind]))
             columns.append(value.alias(c.key))
         rows = df.select((F.monotonically_increasing_id() + table.next_row).alias(ROW_ID), *columns)
         part = self._part(rows, "insert", self._next_seq(), self._folder(table))

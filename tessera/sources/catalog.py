@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROW_ID, SEQ = "_row_id", "_seq"
-SPARK_TYPES = {"int": T.LongType(), "float": T.DoubleType(), "text": T.StringType(), "bool": T.BooleanType(), "embedding": T.ArrayType(T.FloatType(), False)}
+SPARK_TYPES = {"int": T.LongType(), "float": T.DoubleType(), "text": T.StringType(), "bool": T.BooleanType(), "embedding": T.ArrayType(T.FloatType(), True)}
 
 
 @dataclass

@@ -103,3 +103,14 @@ def test_embedder():
     v = hash_embedder("hello", 4)
     assert len(v) == 4 and all(0 <= x <= 1 for x in v) and v == hash_embedder("hello", 4)
     assert len({wyhash(b"x" * n) for n in range(100)}) == 100
+
+
+def test_bulk_vectors_may_have_a_nullable_type_but_no_nulls(spark):
+    from tessera.engine import Engine
+
+    e = Engine(spark)
+    e.execute("CREATE TABLE v (id int, v embedding(2))")
+    good = spark.createDataFrame([(1, [0.5, 1.0]), (2, None)], "id bigint, v array<float>")
+    assert e.insert_df("v", good) == 2 and e.table("v").filter("v is null").count() == 1
+    with pytest.raises(Exception, match="none of them null"):
+        e.insert_df("v", spark.createDataFrame([(3, [0.5, None])], "id bigint, v array<float>"))
