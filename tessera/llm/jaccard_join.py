@@ -235,6 +235,13 @@ def _side(postings: DataFrame, x: str, *more: str) -> DataFrame:
     return postings.select("token", *[F.col(c).alias(names[c]) for c in names if c in postings.columns], *more)
 
 
+def _across(now: DataFrame) -> DataFrame:
+    """Pairs of postings of one token with two labels, each once. One of a pair has another label than most of its list,
+    so a list of n postings of which k have such a label compares k * n pairs, and not n * n."""
+    most = F.col("label").eqNullSafe(F.col("major"))
+    return _side(now.filter(~most), "a").join(_side(now, "b", most.alias("most")), "token").filter("la != lb and (most or a < b)")
+
+
 def _in_order(pairs: DataFrame) -> DataFrame:
     swap = F.col("a") > F.col("b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
@@ -249,10 +256,13 @@ def class_links(classes: DataFrame, percent: int, segment_keys: int) -> DataFram
     labels = links = tested = None
     for step in range(CENTRES + 1):
         now = postings.withColumn("label", F.col("doc")) if labels is None else postings.join(labels, postings.doc == labels.node, "left").withColumn("label", F.coalesce("label", "doc")).drop("node")
-        if labels is not None:  # lists of one label propose nothing more
-            open_lists = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
-            now = now.join(open_lists, "token", "left_semi")
-        rest = _side(now, "a").join(_side(now, "b"), "token").filter("a < b and la != lb").filter(_can_link(percent)).select("a", "b", "na", "nb")
+        if labels is None:
+            now = now.withColumn("major", F.lit(None).cast("bigint"))
+        else:  # lists of one label propose nothing more; of the others, "major" is the label that most of a list have
+            held = now.groupBy("token", "label").agg(F.count(F.lit(1)).alias("size"))
+            open_lists = held.groupBy("token").agg(F.max_by("label", F.struct("size", "label")).alias("major"), F.count(F.lit(1)).alias("held")).filter("held > 1").select("token", "major")
+            now = now.join(open_lists, "token")
+        rest = _across(now).filter(_can_link(percent)).select("a", "b", "na", "nb")
         last = step == CENTRES
         if step and not last:
             last = rest.count() <= FEW * n_postings

@@ -4,11 +4,12 @@ import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import exchange as ex
 from tessera.llm.components import components
 from tessera.llm.exact_dedup import drop_exact_duplicates, exact_duplicates, repeated_filter
-from tessera.llm.jaccard_join import drop_near_duplicates, jaccard_components, jaccard_links
+from tessera.llm.jaccard_join import _across, drop_near_duplicates, jaccard_components, jaccard_links
 from tessera.llm.substring_dedup import repeated_passages
 
 WHITE = re.compile(r"[\x20\x09-\x0D]")
@@ -155,6 +156,17 @@ def test_jaccard_against_brute_force(make):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, w in want.items() if w[1] == i)
 
 
+def test_pairs_across_labels(spark):
+    """Each pair of one token's postings with two labels once, whatever label most of them have."""
+    rng = random.Random(5)
+    rows = [(token, doc, 9, 9, 0, [1], rng.choice([1, 1, 1, 2, 3])) for token in range(6) for doc in rng.sample(range(50), 12)]
+    now = spark.createDataFrame(rows, "token long, doc long, n long, m long, pos long, bins array<smallint>, label long")
+    want = sorted((t, x[1], y[1]) for t in range(6) for x in rows for y in rows if x[0] == y[0] == t and x[1] < y[1] and x[6] != y[6])
+    for major in ("1", "2", "null"):
+        got = _across(now.withColumn("major", F.expr(f"cast({major} as bigint)"))).collect()
+        assert sorted((r.token, min(r.a, r.b), max(r.a, r.b)) for r in got) == want
+
+
 def test_jaccard_chain_of_links(make):
     """Each links with the next only; no member links with all."""
     rows = [(i, " ".join(f"t{k}" for k in range(i * 2, i * 2 + 60))) for i in range(30)]
