@@ -75,7 +75,6 @@ _sql("order_asc", "supplier", "SELECT s_suppkey, s_acctbal FROM supplier ORDER B
 _sql("order_desc", "supplier", "SELECT s_suppkey, s_acctbal FROM supplier ORDER BY s_acctbal DESC, s_suppkey")
 _sql("order_multi", "customer", "SELECT c_custkey, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment, c_custkey LIMIT 50")
 _sql("order_hidden", "customer", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 20")
-_sql("order_nulls", "documents labels", "SELECT d.doc_id AS doc_id, l.quality AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id LIMIT 100", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id LIMIT 100")
 _sql("order_nulls_whole", "documents labels", "SELECT d.doc_id AS doc_id, l.quality AS quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality, d.doc_id", "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY l.quality NULLS FIRST, d.doc_id")
 _sql("limit", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10")
 _sql("limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10 OFFSET 25")
@@ -120,34 +119,20 @@ _sql("join_self", "nation", "SELECT a.n_name AS a_name, b.n_name AS b_name FROM
 
 
 def _with_null_keys(spark: SparkSession, sf_dir: str) -> Engine:
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     engine = Engine(spark)
     engine.register("left_keys", docs.select("doc_id", F.nullif(F.col("doc_id") % 7, F.lit(0)).alias("k")))
-    engine.register("right_keys", labels.select(F.col("doc_id").alias("label_id"), F.nullif(F.col("doc_id") % 7, F.lit(0)).alias("k")).filter("label_id < 60"))
     return engine
 
 
-_NULL_KEYS = "WITH left_keys AS (SELECT doc_id, nullif(doc_id % 7, 0) AS k FROM documents), right_keys AS (SELECT doc_id AS label_id, nullif(doc_id % 7, 0) AS k FROM labels WHERE doc_id < 60) "
-
-
-@_query(_NULL_KEYS + "SELECT l.doc_id, r.label_id FROM left_keys l JOIN right_keys r ON l.k = r.k WHERE l.doc_id < 200")
-def join_null_keys(spark, sf_dir):
-    return _with_null_keys(spark, sf_dir).execute("SELECT l.doc_id AS doc_id, r.label_id AS label_id FROM left_keys l JOIN right_keys r ON l.k = r.k WHERE l.doc_id < 200")
-
-
-@_query(_NULL_KEYS + "SELECT doc_id FROM left_keys l WHERE NOT EXISTS (SELECT 1 FROM right_keys r WHERE r.k = l.k AND r.label_id < 20)")
-def not_in_with_nulls(spark, sf_dir):
-    return _with_null_keys(spark, sf_dir).execute("SELECT doc_id FROM left_keys WHERE k NOT IN (SELECT k FROM right_keys WHERE label_id < 20)")
-
-
-@_query(_NULL_KEYS + "SELECT count(*) AS n FROM left_keys WHERE k IS DISTINCT FROM 3")
+@_query("WITH left_keys AS (SELECT doc_id, nullif(doc_id % 7, 0) AS k FROM documents) SELECT count(*) AS n FROM left_keys WHERE k IS DISTINCT FROM 3")
 def two_valued_not_equal(spark, sf_dir):
     engine = _with_null_keys(spark, sf_dir)
     engine.options.null_semantics = "two_valued"
     return engine.execute("SELECT COUNT(*) AS n FROM left_keys WHERE k != 3")
 
 
-# the same on whole tables, by ids of which some are null
+# joins by ids of which some are null
 _WHOLE_KEYS = "WITH left_keys AS (SELECT doc_id, CASE WHEN doc_id % 7 != 0 THEN doc_id END AS k FROM documents), right_keys AS (SELECT doc_id AS label_id, CASE WHEN doc_id % 5 != 0 THEN doc_id END AS k FROM labels) "
 
 
@@ -198,13 +183,6 @@ def _query_vector(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return list(_vectors(spark, sf_dir).filter(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-@_query(f"SELECT a.vec_id AS a, b.vec_id AS b, {_DISTANCE} AS distance FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < 50 AND b.vec_id < 50")
-def cosine_pairs(spark, sf_dir):
-    v = _vectors(spark, sf_dir).filter("vec_id < 50")
-    a, b = (v.select(F.col("vec_id").alias(n), F.col("embedding").alias(f"v{n}"), "label") for n in "ab")
-    return a.join(b, "label").select("a", "b", F.round(cosine_distance("va", "vb"), 6).alias("distance"))
-
-
 @_query(f"SELECT a.vec_id AS query_id, b.vec_id AS base_id, {_DISTANCE} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0")
 def cosine_to_set(spark, sf_dir):
     """The whole table against the stated set of vectors."""
