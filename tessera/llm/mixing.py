@@ -181,11 +181,13 @@ def mix(docs: DataFrame, weights: dict | None = None, temperature: float = TEMPE
     whole = [F.col(f"`{f.name}`") for f in docs.schema if not f.dataType.simpleString().count("map<")]
     hashed = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), *whole)).otherwise(F.xxhash64(F.lit(seed), F.col("doc_id")))
     keyed = docs.withColumn("_order", hashed).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_order", 32), F.lit(buckets)))
-    each = keyed.groupBy("source", "_bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = each.select(F.col("source").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_order", "doc_id")
-    ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_rank") + F.col("_offset"))
+    # null equals null inside a struct, so the join below keeps to the window's partitions: texts shuffle once
+    keyed = keyed.withColumn("_in", F.struct("source"))
+    each = keyed.groupBy("_in", "_bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("_in").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = each.select(F.col("_in").alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy("_in", "_bucket").orderBy("_order", "doc_id")
+    ranked = keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, (F.col("_in") == F.col("_s")) & (F.col("_bucket") == F.col("_b"))).withColumn("_rank", F.col("_rank") + F.col("_offset"))
     placed = ranked.withColumn("block", F.floor(F.col("_rank") / block_rows)).join(broadcast_if_small(plan, shape.blocks or 0), F.col("source").eqNullSafe(F.col("_key")) & (F.col("block") == F.col("_block")))
     return placed.select(*[F.col(f"`{c}`") for c in docs.columns], "block", F.col("_slot").alias("slot"), (F.col("_slot") * block_rows + F.col("_rank") % block_rows).alias("position"), F.col("_phase").alias("phase"))
 
