@@ -14,6 +14,8 @@ from tessera.functions.workers import workers_find_package
 #: Bytes of query vectors that are broadcast at once; more are searched in several sets.
 QUERY_BYTES = 64 << 20
 SLACK = np.float32(1e-5)
+#: Queries of one matrix product, and groups of columns for each neighbour sought.
+CHUNK, GROUPS = 1024, 40
 
 
 def knn(df: DataFrame, column: str, query, k: int, tie: str) -> DataFrame:
@@ -29,7 +31,7 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _best(query: np.ndarray, row: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k of each query by distance, then row."""
+    """The k of each query by distance, then row id."""
     order = np.lexsort((row, np.round(distance, 12), query))
     query, row, distance = query[order], row[order], distance[order]
     first = np.searchsorted(query, query, "left")
@@ -37,19 +39,57 @@ def _best(query: np.ndarray, row: np.ndarray, distance: np.ndarray, k: int) -> t
     return query[keep], row[keep], distance[keep]
 
 
-def _query_sets(queries: DataFrame, query_id: str, query_column: str):
-    """Broadcasts of (ids, unit vectors): the queries with a vector, in sets of ``QUERY_BYTES``."""
+def _edge(rough: np.ndarray, k: int) -> np.ndarray:
+    """For each query (row) a cosine that at least k of its columns reach: the k-th greatest of the maxima of disjoint
+    groups of columns, which is far cheaper than the k-th greatest of all and nearly as high."""
+    columns, groups = rough.shape[1], GROUPS * k
+    if columns >= 2 * groups:
+        whole = columns // groups * groups
+        most = rough[:, :whole].reshape(len(rough), -1, groups).max(axis=1)
+        rough = np.concatenate([most, rough[:, whole:]], axis=1)
+    top = rough.shape[1] - min(k, rough.shape[1])
+    return np.partition(rough, top, axis=1)[:, top : top + 1]
+
+
+def _nearer(held, q: np.ndarray, q32: np.ndarray, key: np.ndarray, near: np.ndarray, near32: np.ndarray, k: int):
+    """(query, row id, distance) of the k best of each of the queries among ``held``, the same of earlier rows, and the
+    unit vectors ``near``. Single precision finds who may be among the best (its error is far below SLACK), double
+    decides."""
+    rough = q32 @ near32
+    cut = _edge(rough, k)
+    if held is not None and len(held[0]) == k * len(q):  # the k-th best so far is an edge too
+        cut = np.maximum(cut, (1 - held[2].reshape(len(q), k)[:, -1:]).astype(np.float32))
+    may = rough >= cut - SLACK
+    count = may.sum(axis=1)
+    many = np.flatnonzero(count > 4 * k + 64)  # queries whose edge many equal vectors share, one by one
+    may[many] = False
+    at, j = np.divmod(np.flatnonzero(may), rough.shape[1])
+    parts = [(at, key[j], 1 - np.clip(np.einsum("nd,nd->n", q[at], near[j]), -1, 1))]
+    for t in many.tolist():
+        top = len(key) - min(k, len(key))
+        own = np.flatnonzero(rough[t] >= np.partition(rough[t], top)[top] - SLACK)
+        parts.append(_best(np.full(len(own), t), key[own], 1 - np.clip(near[own] @ q[t], -1, 1), k))
+    if held is not None:
+        parts.append(held)
+    return _best(*(np.concatenate(x) for x in zip(*parts)), k)
+
+
+def _query_sets(queries: DataFrame, query_id: str, query_column: str, k: int = 0):
+    """Broadcasts of (ids, unit vectors): the queries with a vector, in sets of ``QUERY_BYTES``, which is also the most
+    that the k neighbours of a set's queries take."""
     rows = queries.filter(F.col(query_column).isNotNull()).select(query_id, F.col(query_column).cast("array<double>").alias("v"))
     size = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.min(F.size("v"))).first()
     if size[1] != size[2]:
         raise E.ValidationFailed("query vectors of several dimensions")
-    per_set = max(1, QUERY_BYTES // (8 * max(1, size[1] or 0)))
+    per_set = max(1, QUERY_BYTES // (8 * max(1, size[1] or 0, 3 * k)))
     sets = -(-size[0] // per_set)
     for s in range(sets):
         chosen = rows if sets == 1 else rows.filter(F.pmod(F.xxhash64(query_id), F.lit(sets)) == s)
-        got = chosen.toPandas()
-        if len(got):
-            yield queries.sparkSession.sparkContext.broadcast((got[query_id].to_numpy(np.int64), _unit(np.stack(got["v"].to_numpy()))))
+        got = chosen.toArrow().combine_chunks()
+        if got.num_rows:
+            ids = got.column(0).to_numpy().astype(np.int64)
+            v = got.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            yield queries.sparkSession.sparkContext.broadcast((ids, _unit(v.reshape(len(ids), -1))))
 
 
 def _block(b: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,40 +132,35 @@ def knn_batch(queries: DataFrame, query_id: str, query_column: str, base: DataFr
     """(query_id, base_id, distance, rank): the k nearest of ``base`` for each query.
 
     The stated set of queries meets all rows in blocks: queries are broadcast in sets of ``QUERY_BYTES``, each batch of
-    ``base`` is one matrix product and keeps its best k a query, and the batches' bests (k a query and batch at most)
-    are merged by query. ``base`` isn't shuffled. Null vectors are left out on both sides; ids are whole numbers.
+    ``base`` is one matrix product with a chunk of them, a task keeps its best k a query over all its batches, and the
+    tasks' bests are merged by query. ``base`` isn't shuffled. Null vectors are left out on both sides, as are vectors
+    with a null, NaN or infinite element; ids are whole numbers.
     """
     workers_find_package(base.sparkSession)
     schema = "query_id bigint, base_id bigint, distance double"
     parts = None
-    for held in _query_sets(queries, query_id, query_column):
+    for held in _query_sets(queries, query_id, query_column, k):
 
         def run(batches, held=held):
             ids, q = held.value
+            q32 = q.astype(np.float32)
+            best = [None] * -(-len(ids) // CHUNK)
             for b in batches:
                 if not b.num_rows:
                     continue
                 key, near = _block(b, q.shape[1])
-                order = np.argsort(key, kind="stable")
-                near, key = near[order], key[order]
-                half = near.astype(np.float32).T
-                for i in range(0, len(ids), 1024):
-                    # single precision finds who may be among the best (its error is far below SLACK), double decides
-                    rough = q[i : i + 1024].astype(np.float32) @ half
-                    top = rough.shape[1] - min(k, rough.shape[1])
-                    cut = np.partition(rough, top, axis=1)[:, top : top + 1]
-                    may = rough >= cut - SLACK
-                    count = may.sum(axis=1)
-                    tied = np.flatnonzero(count > 4 * k + 64)  # queries whose edge many equal vectors share, one by one
-                    may[tied] = False
-                    at, j = np.nonzero(may)
-                    d = 1 - np.clip(np.einsum("nd,nd->n", q[i + at], near[j]), -1, 1)
-                    parts = [_best(i + at, j, d, k)]
-                    for t in tied.tolist():
-                        own = np.flatnonzero(rough[t] >= cut[t] - SLACK)
-                        parts.append(_best(np.full(len(own), i + t), own, 1 - np.clip(near[own] @ q[i + t], -1, 1), k))
-                    at, j, d = (np.concatenate(x) for x in zip(*parts))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(key[j]), pa.array(d)], ["query_id", "base_id", "distance"])
+                whole = np.isfinite(near).all(axis=1)
+                key, near = key[whole], near[whole]
+                if not len(key):
+                    continue
+                near32 = np.ascontiguousarray(near.astype(np.float32).T)
+                for c in range(len(best)):
+                    chunk = slice(c * CHUNK, (c + 1) * CHUNK)
+                    best[c] = _nearer(best[c], q[chunk], q32[chunk], key, near, near32, k)
+            for c, found in enumerate(best):
+                if found is not None:
+                    at, row, d = found
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[c * CHUNK + at]), pa.array(row), pa.array(d)], ["query_id", "base_id", "distance"])
 
         kept = base.filter(F.col(base_column).isNotNull()).select(base_id, base_column).mapInArrow(run, schema)
         parts = kept if parts is None else parts.unionByName(kept)

@@ -38,6 +38,28 @@ def test_batch_search_equals_brute_force(spark):
         assert [got[q][k] for k in (1, 2, 3, 4)] == order
 
 
+def test_batch_search_over_several_batches_with_ties_and_odd_vectors(spark):
+    rng = np.random.default_rng(1)
+    data = rng.normal(size=(3000, 6)).astype(np.float32)
+    data[rng.choice(3000, 600, replace=False)] = data[5]  # more equal vectors than the edge's limit
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
+    odd = [(3000, [float("nan")] * 6), (3001, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (3002, None), (3003, [float("inf")] + [0.0] * 5)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 700)
+    try:
+        df = spark.createDataFrame(rows + odd, "id bigint, v array<float>").repartition(2)
+        found = knn_batch(df.filter("id < 40 or id >= 3000"), "id", "v", df, "id", "v", 2).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, {})[r["rank"]] = r.base_id
+    unit = data.astype(float) / np.linalg.norm(data.astype(float), axis=1, keepdims=True)
+    assert set(got) == set(range(40))
+    for q in range(40):
+        distance = np.round(1 - np.clip(unit @ unit[q], -1, 1), 12)
+        assert [got[q][1], got[q][2]] == np.lexsort((np.arange(3000), distance))[:2].tolist()
+
+
 def test_batch_search_with_many_equal_vectors(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0] if i % 2 else [float(i), 1.0]) for i in range(400)], "id bigint, v array<float>").repartition(3)
     got = sorted((r["rank"], r.base_id) for r in knn_batch(df.filter("id = 1"), "id", "v", df, "id", "v", 5).collect())
