@@ -286,13 +286,22 @@ class Engine:
 
     def _select(self, session: Session, s: A.Select) -> DataFrame:
         views: dict[str, Relation] = {}
+        lowering = Lowering(self._lookup(session, views), self.options)
         try:
-            return self.spark.sql(Lowering(self._lookup(session, views), self.options).query(s))
+            sql = lowering.query(s)
+            self._single_rows(lowering)
+            return self.spark.sql(sql)
         finally:
             for r in views.values():
                 if r.managed:
                     self.spark.catalog.dropTempView(r.view)
 
+    def _single_rows(self, lowering: Lowering) -> None:
+        """Raise where a scalar subquery has several rows; those that have one by their form aren't run."""
+        for sql in lowering.scalars:
+            if self.spark.sql(sql).limit(2).count() > 1:
+                raise E.SubqueryReturnedMultipleRows("a scalar subquery has several rows, SCALAR_SUBQUERY_TOO_MANY_ROWS in Spark (hint: an aggregate, LIMIT 1 or IN)")
+
     def _one(self, **values) -> DataFrame:
         kinds = {int: "bigint", str: "string"}
         return self.spark.createDataFrame([tuple(values.values())], ", ".join(f"`{k}` {kinds[type(v)]}" for k, v in values.items()))
@@ -393,7 +402,9 @@ class Engine:
             table.named(rows).createOrReplaceTempView(view)
             if any(isinstance(n, A.Aggregate) for n in A.walk(where)):
                 raise E.AggregateInWhere("aggregates belong in HAVING")
-            condition = Lowering(lookup, self.options).condition(where, scope)
+            lowering = Lowering(lookup, self.options)
+            condition = lowering.condition(where, scope)
+            self._single_rows(lowering)
             matched = self.spark.sql(f"SELECT * FROM `{view}` AS `{table.name}` WHERE {condition}")
         finally:
             for v in [view, *(r.view for r in views.values() if r.managed)]:

@@ -60,6 +60,23 @@ def test_subqueries(db):
         db.execute("SELECT title FROM peaks WHERE id = (SELECT peak FROM climbs)").collect()
 
 
+def test_scalar_subquery_of_several_rows(db):
+    for statement in (
+        "SELECT title FROM peaks WHERE id = (SELECT peak FROM climbs)",
+        "SELECT title FROM peaks WHERE id IN (SELECT peak FROM climbs WHERE hours > (SELECT height FROM peaks))",
+        "SELECT peak FROM climbs GROUP BY peak HAVING COUNT(*) > (SELECT COUNT(*) FROM climbs GROUP BY peak)",
+        "DELETE FROM peaks WHERE id = (SELECT peak FROM climbs)",
+        "UPDATE peaks SET title = 'x' WHERE id = (SELECT peak FROM climbs LIMIT 2)",
+    ):
+        with pytest.raises(E.SubqueryReturnedMultipleRows):
+            db.execute(statement)
+    assert rows(db, "SELECT COUNT(*) FROM peaks") == [(5,)]
+    assert rows(db, "SELECT title FROM peaks WHERE id = (SELECT peak FROM climbs WHERE hours < 0.0)") == []
+    assert rows(db, "SELECT title FROM peaks WHERE id = (SELECT peak FROM climbs ORDER BY hours DESC, id LIMIT 1)") == rows(
+        db, "SELECT p.title FROM peaks p JOIN climbs c ON p.id = c.peak ORDER BY c.hours DESC, c.id LIMIT 1")
+    assert rows(db, "SELECT title FROM peaks WHERE id = (SELECT id FROM peaks WHERE height = 1141)") == [("Brocken",)]
+
+
 def test_order_and_paging(db):
     assert [t for t, in rows(db, "SELECT title FROM peaks ORDER BY height")] == ["Dent", "Brocken", "Arber", "Eiger", "Cervino"]
     assert rows(db, "SELECT title FROM peaks ORDER BY height DESC, title LIMIT 2 OFFSET 1") == [("Eiger",), ("Arber",)]
