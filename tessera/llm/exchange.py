@@ -5,8 +5,9 @@ Documents are dealt into blocks by a hash of id and text, so rows that repeat an
 segment about its distinct keys in one message; the segment, which has all blocks' messages, answers each with one
 value per key, in the same order. A key that is in a third of all documents is one entry of each block's message, so no
 task gets more of it than there are blocks, and nothing is broadcast or sent to the driver. Both sides are bounded by a
-block's text and a segment's keys; the number of each grows with the input, so tasks keep their size. Only segments of
-which a block has keys get its message, so messages are never more than the blocks' distinct keys.
+block's text and a segment's keys. Every block may have a message for every segment; were their sizes fixed, messages
+would grow with the square of the input until each held a single key. So blocks and segments grow with its square root
+(``sizes``): a message holds ``MESSAGE_KEYS`` keys or more, and the number of messages grows as the input does.
 """
 
 from __future__ import annotations
@@ -20,8 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The least bytes of a block's text, shingles of a block of sets, and keys of a segment.
 BLOCK_BYTES = 8 << 20
+BLOCK_KEYS = 500_000
 SEGMENT_KEYS = 2_000_000
+#: Keys that a message of a full block to a segment holds at least, on average.
+MESSAGE_KEYS = 32
 ASK = "segment bigint, block bigint, keys binary, extra binary"
 ANSWER = "block bigint, segment bigint, answer binary"
 _pack = zstandard.ZstdCompressor(level=1)
@@ -61,7 +66,21 @@ def text_size(docs: DataFrame) -> tuple[int, int]:
     return int(n or 0), int(rows)
 
 
-def in_blocks(docs: DataFrame, size: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def sizes(keys: int, block_keys: int, segment_keys: int | None = None) -> tuple[int, int]:
+    """Keys of a block (``block_keys`` or more) and of a segment for an input of so many keys. A block's keys spread
+    over keys / segment size segments, so a message holds block size * segment size / keys: both at least the square
+    root of MESSAGE_KEYS * keys make that MESSAGE_KEYS."""
+    root = math.isqrt(MESSAGE_KEYS * max(0, keys))
+    return max(block_keys, root), segment_keys or max(SEGMENT_KEYS, root)
+
+
+def text_sizes(n_bytes: int, block_bytes: int | None = None, segment_keys: int | None = None) -> tuple[int, int]:
+    """Bytes of a block and keys of a segment for so many bytes of text, about a word in five; what is given stays."""
+    block, segment = sizes(n_bytes // 5, BLOCK_BYTES // 5, segment_keys)
+    return block_bytes or max(BLOCK_BYTES, 5 * block), segment
+
+
+def in_blocks(docs: DataFrame, size: int, block_bytes: int) -> DataFrame:
     """doc_id (as long) and text with ``block``, a number below size / block_bytes. Ids must be integers (or null)."""
     if not isinstance(docs.schema["doc_id"].dataType, (T.IntegralType, T.NullType)):
         raise TypeError(f"doc_id must be an integer column, not {docs.schema['doc_id'].dataType.simpleString()}")

@@ -82,9 +82,10 @@ def _answers(t: pa.Table) -> dict[int, bytes]:
 _SIZES = "doc_id bigint, n_shingles bigint, shingles binary, digest binary"
 
 
-def sized_sets(docs: DataFrame, size: int, percent: int, block_bytes: int, segment_keys: int) -> DataFrame:
+def sized_sets(docs: DataFrame, size: int, percent: int, block_bytes: int | None, segment_keys: int | None) -> DataFrame:
     """doc_id and n_shingles of every row; shingles and a digest of the set for those that may link."""
     n_bytes, _ = ex.text_size(docs)
+    block_bytes, segment_keys = ex.text_sizes(n_bytes, block_bytes, segment_keys)
     sketch = ex.CountMin(max(1, n_bytes // 5), segment_keys=segment_keys)
     blocks = ex.in_blocks(docs, n_bytes, block_bytes)
 
@@ -119,7 +120,7 @@ def _set_digest(values: np.ndarray) -> bytes:
     return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
 
 
-def cut_sets(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
+def cut_sets(classes: DataFrame, percent: int, segment_keys: int | None) -> DataFrame:
     """The classes' sets, without shingles that no other class has, cut into fragments of the global order: one row a
     class and fragment with doc, fragment, part (its digests in order), start (shingles before them), lead (how many of
     them lie in the prefix), n, m (all shingles, those kept), typical (mean count) and bins (kept shingles by BINS
@@ -130,8 +131,9 @@ def cut_sets(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
     and one of ``PARTS`` ranges of digests. Counts: blocks ask the shingles' segments, as in ``exchange``.
     """
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
+    block_keys, segment_keys = ex.sizes(total, ex.BLOCK_KEYS, segment_keys)
     segments = ex.segments_for(total, segment_keys)
-    blocks = classes.select(F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-total // 500_000)))).alias("block"), "doc", "n_shingles", "shingles")
+    blocks = classes.select(F.pmod(F.xxhash64("doc"), F.lit(max(1, -(-total // block_keys)))).alias("block"), "doc", "n_shingles", "shingles")
 
     def values_of(t: pa.Table):
         sets = [np.frombuffer(x, "<u8") for x in t.column("shingles").to_pylist()]
@@ -248,7 +250,7 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(pick("a", "b").alias("a"), pick("b", "a").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb")).distinct()
 
 
-def class_links(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
+def class_links(classes: DataFrame, percent: int, segment_keys: int | None) -> DataFrame:
     """Links (a, b) between classes that have the components of all links."""
     cut = cut_sets(classes, percent, segment_keys)
     postings = prefix_postings(cut)
@@ -284,7 +286,7 @@ def class_links(classes: DataFrame, percent: int, segment_keys: int) -> DataFram
     return links
 
 
-def all_links(classes: DataFrame, percent: int, segment_keys: int) -> DataFrame:
+def all_links(classes: DataFrame, percent: int, segment_keys: int | None) -> DataFrame:
     """Every link (a, b, overlap, na, nb; a < b) between classes: all candidate pairs that may link are tested, also
     those that lie in one component already. Pairs grow with the square of a group of near copies, as its links do."""
     cut = cut_sets(classes, percent, segment_keys)
@@ -303,14 +305,14 @@ def _may_link(classes: DataFrame, percent: int) -> DataFrame:
     return classes.filter(F.col("n_shingles") * (100 - percent) >= percent - (100 - percent)).drop("rows", "digest")
 
 
-def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
+def jaccard_links(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_bytes: int | None = None, segment_keys: int | None = None) -> DataFrame:
     """One row for each linked pair of classes: class_a < class_b (the class_id of ``jaccard_components``), overlap
     (shingles in common), n_a, n_b (shingles). Documents of one class_id link too and have no rows of their own."""
     classes = _classes(shared(sized_sets(docs, size, percent, block_bytes, segment_keys)))
     return all_links(_may_link(classes, percent), percent, segment_keys).select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "overlap", F.col("na").alias("n_a"), F.col("nb").alias("n_b"))
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, block_bytes: int | None = None, segment_keys: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_shingles, class_id (least doc_id with an equal set), component_id."""
     sets = shared(sized_sets(docs, size, percent, block_bytes, segment_keys))
     classes = _classes(sets)

@@ -58,10 +58,11 @@ def _answers(t: pa.Table) -> dict[int, bytes]:
     return dict(zip(t.column("segment").to_pylist(), t.column("answer").to_pylist()))
 
 
-def repeated_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int = ex.BLOCK_BYTES, segment_keys: int = ex.SEGMENT_KEYS) -> DataFrame:
+def repeated_passages(docs: DataFrame, window: int = WINDOW, block_bytes: int | None = None, segment_keys: int | None = None) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_words, n_removed, kept_text (the kept words, one space between) and
-    removed (array of word ranges from, to)."""
+    removed (array of word ranges from, to). Blocks and segments follow the input's size where they aren't given."""
     size, _ = ex.text_size(docs)
+    block_bytes, segment_keys = ex.text_sizes(size, block_bytes, segment_keys)
     windows = max(1, size // 5)  # about a word in five bytes; sets the sketch's width, not its correctness
     sketch = ex.CountMin(windows, segment_keys=segment_keys)
     shift = np.uint64(64 - int(np.log2(sketch.segments))) if sketch.segments > 1 else None

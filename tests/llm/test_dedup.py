@@ -96,6 +96,27 @@ def test_passages_against_brute_force(make):
             assert sum(s["to"] - s["from"] for s in r.removed) == r.n_removed
 
 
+def test_messages_grow_as_the_input_does():
+    for n in [10**k for k in range(0, 16)]:
+        block, segment = ex.text_sizes(n)
+        assert block >= ex.BLOCK_BYTES and segment >= ex.SEGMENT_KEYS
+        messages = max(1, -(-n // block)) * ex.segments_for(max(1, n // 5), segment)
+        assert messages <= 4 + 2 * n / 5 / ex.MESSAGE_KEYS  # segments are a power of two, at most twice as many
+    assert ex.text_sizes(10**14)[0] < 160 << 20 and ex.text_sizes(10**9) == (ex.BLOCK_BYTES, ex.SEGMENT_KEYS)
+    assert ex.text_sizes(10**14, 1000, 50) == (1000, 50)
+
+
+def test_passages_and_sets_in_blocks_that_follow_the_input(make, monkeypatch):
+    for name in ("BLOCK_BYTES", "BLOCK_KEYS", "SEGMENT_KEYS"):
+        monkeypatch.setattr(ex, name, 10)
+    rows = list(enumerate(random_texts(5, 120)))
+    assert 10 < ex.text_sizes(sum(len(t) for _, t in rows))[0] < 2000
+    got = repeated_passages(make(rows), 5).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_passages(rows, 5)
+    found = {r.doc_id: r.component_id for r in jaccard_components(make(rows), 2, 70).collect()}
+    assert found == {i: c for i, (_, c) in brute_components(rows, 2, 70).items()}
+
+
 def test_passages_odd_rows(odd, empty, make):
     got = repeated_passages(odd).collect()
     assert len(got) == odd.count() and all(r.n_removed == 0 for r in got)
